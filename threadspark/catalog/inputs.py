@@ -14,6 +14,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadspark.functions.times import epoch_micros
+
 AS_OF = datetime(2001, 7, 1)
 SIGHT_AS_OF = datetime(2024, 1, 31)
 
@@ -149,8 +151,9 @@ def oracle(sql: str) -> str:
     views = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
     if not views:
         return _duck(text)
-    if text[:5].upper() == "WITH ":
-        return _duck(f"WITH {views},\n{text[5:]}")
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(start):
+            return _duck(f"{start}{views},\n{text[len(start):]}")
     return _duck(f"WITH {views}\n{text}")
 
 
@@ -212,9 +215,7 @@ class Inputs:
             F.col("post_id").alias("id"), "title", "author", "permalink", "selftext", "score", "upvote_ratio",
             "num_comments", "domain", "is_video", "is_gallery", "stickied", "spoiler", "over_18",
             F.col("post_flair").alias("link_flair_text"), "url_overridden_by_dest",
-            (F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("created_utc"))).cast(
-                "double"
-            ).alias("created_utc"),
+            (epoch_micros(F.col("created_utc")) / 1_000_000).alias("created_utc"),
         )
         posts = self.posts.select("post_id", F.to_json(post).alias("post"))
         return self.thread_listings().join(posts, "post_id").select(

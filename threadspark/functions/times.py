@@ -40,7 +40,10 @@ def from_epoch(seconds: Column) -> Column:
 
 
 def epoch_micros(column: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), column)
+    """Microseconds since the epoch of a UTC wall time, put together without a zone conversion."""
+    days = F.unix_date(column.cast("date")).cast("long") * 86_400_000_000
+    minutes = (F.hour(column) * 60 + F.minute(column)).cast("long") * 60_000_000
+    return days + minutes + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("long")
 
 
 def parse_iso(text: Column) -> Column:
