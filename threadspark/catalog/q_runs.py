@@ -1,0 +1,243 @@
+"""Checks of routines: settings, matching, limits and whole runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threadspark.catalog.inputs import AS_OF, Inputs
+from threadspark.catalog.q_comments import LINE_SQL, tree_sql
+from threadspark.catalog.q_posts import LABEL_SQL
+from threadspark.catalog.registry import query
+from threadspark.functions.text import label
+from threadspark.operators import render
+from threadspark.operators.comments import PRESETS, trim_tree
+from threadspark.plans import routines as r
+from threadspark.plans.run import run
+from threadspark.session import cut_lineage
+
+CLOCK = f"TIMESTAMP '{AS_OF}'"
+
+DEFAULTS = {
+    "sort": "new", "max_results": 8, "ignore_below_score": 50, "rescrape_newer_than_hours": 12, "detail": "MD",
+    "db_limit": 1000,
+}
+
+
+@query(
+    "routine_resolve",
+    """SELECT routine_id, name, coalesce(array_to_string(subreddit, '+'), '') AS subreddit,
+         coalesce(sort, 'new') AS sort, 5 AS max_results, coalesce(ignore_below_score, 50) AS ignore_below_score,
+         coalesce(ignore_older_than_hours, ignore_older_than_days * 24, -1) AS ignore_older_than_hours,
+         coalesce(rescrape_newer_than_hours, 12) AS rescrape_newer_than_hours, coalesce(detail, 'MD') AS detail,
+         coalesce(array_to_string(exclude_terms, '+'), '') AS exclude_terms, coalesce(db_limit, 1000) AS db_limit
+       FROM routine_rows""",
+)
+def routine_resolve(i: Inputs):
+    rows = r.resolve(i.routine_rows, DEFAULTS, {"max_results": 5})
+    return rows.withColumns(
+        {
+            "subreddit": F.array_join("subreddit", "+"),
+            "exclude_terms": F.array_join("exclude_terms", "+"),
+            "ignore_older_than_hours": F.coalesce("ignore_older_than_hours", F.lit(-1)),
+        }
+    )
+
+
+query("routine_by_name", "SELECT routine_id, name FROM routine_rows WHERE lower(name) = 'customer#000000042'")(
+    lambda i: r.routines_named(i.routine_rows, "CUSTOMER#000000042").select("routine_id", "name")
+)
+query("retention_limit", "SELECT greatest(1000, max(db_limit)) AS keep_rows FROM routine_rows")(
+    lambda i: r.retention_limit(i.routine_rows)
+)
+
+ROUTINES = [
+    r.make_routine({"name": "all-new", "max_results": 20}, routine_id=1),
+    r.make_routine({"name": "furniture", "subreddit": "FURNITURE", "sort": "top", "max_results": 12}, routine_id=2),
+    r.make_routine(
+        {"name": "busy", "subreddits": ["BUILDING", "MACHINERY"], "sort": "comments", "ignore_below_score": 0}, routine_id=3
+    ),
+    r.make_routine({"name": "liked", "sort": "top", "ignore_below_upvote_ratio": 0.85, "max_results": 15}, routine_id=4),
+    r.make_routine(
+        {"name": "old", "ignore_newer_than_days": 10, "exclude_terms": ["ring"], "offset": 10, "allow_nsfw": True}, routine_id=5
+    ),
+    r.make_routine({"name": "nothing", "sort": "top", "min_score": 100000}, routine_id=6),
+]
+MATCHED_SQL = f"""matched AS (
+  SELECT 1 AS routine_id, post_id, CAST(epoch_us(created_utc) AS DOUBLE) AS sort_key,
+    CASE WHEN score < 50 THEN 'Score below 50' END AS reason FROM posts WHERE NOT over_18
+  UNION ALL
+  SELECT 2, post_id, score, CASE WHEN score < 50 THEN 'Score below 50' END FROM posts
+    WHERE NOT over_18 AND subreddit = 'FURNITURE'
+  UNION ALL
+  SELECT 3, post_id, num_comments, CASE WHEN score < 0 THEN 'Score below 0' END FROM posts
+    WHERE NOT over_18 AND subreddit IN ('BUILDING', 'MACHINERY')
+  UNION ALL
+  SELECT 4, post_id, score, CASE WHEN score < 50 THEN 'Score below 50'
+    WHEN upvote_ratio < 0.85 THEN 'Upvote ratio below 0.85' END FROM posts WHERE NOT over_18
+  UNION ALL
+  SELECT 5, post_id, CAST(epoch_us(created_utc) AS DOUBLE), CASE WHEN score < 50 THEN 'Score below 50'
+    WHEN contains(lower(title), 'ring') THEN 'Excluded term: ring'
+    WHEN created_utc > {CLOCK} - INTERVAL '240' HOUR THEN 'Newer than 240h' END FROM posts
+    WHERE NOT regexp_matches(title || ' ' || selftext, '(?i)(^|[^\\p{{L}}\\p{{N}}])ring([^\\p{{L}}\\p{{N}}]|$)')
+  UNION ALL
+  SELECT 6, post_id, score, CASE WHEN score < 100000 THEN 'Score below 100000' END FROM posts WHERE NOT over_18)"""
+LIMITS_SQL = "limits(routine_id, feed_start, most) AS (VALUES (1, 0, 20), (2, 0, 12), (3, 0, 8), (4, 0, 15), (5, 10, 8), (6, 0, 8))"
+FEED_SQL = f"""{MATCHED_SQL}, {LIMITS_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY routine_id ORDER BY sort_key DESC, post_id) - 1 AS pos FROM matched),
+feed AS (SELECT m.*, l.most FROM ranked m JOIN limits l ON m.routine_id = l.routine_id
+  WHERE pos >= feed_start AND pos < feed_start + 75)"""
+
+
+def seen_sql(state: str) -> str:
+    return f"""{FEED_SQL},
+judged AS (
+  SELECT f.*, CASE WHEN s.post_id IS NULL THEN 'initial' WHEN s.rescrape_after < {CLOCK} THEN 'rescrape' ELSE 'hit' END AS kind
+  FROM feed f LEFT JOIN {state} s ON f.post_id = s.post_id),
+verdicts AS (SELECT *, CASE WHEN kind = 'hit' THEN 'hit' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status
+  FROM judged),
+counted AS (SELECT *, coalesce(sum(CASE WHEN status = 'accepted' THEN 1 ELSE 0 END) OVER (
+    PARTITION BY routine_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM verdicts),
+seen AS (SELECT * FROM counted WHERE taken < most)"""
+
+
+SEEN_SQL = seen_sql("known_state")
+SEEN_COLUMNS = "routine_id, CAST(pos AS INT) AS pos, post_id, kind, status, CASE WHEN status = 'rejected' THEN reason ELSE '-' END AS reason"
+
+
+def seen(i: Inputs):
+    return r.run_routines(i.posts, ROUTINES, AS_OF, i.known_state)
+
+
+def seen_columns(rows):
+    return rows.select("routine_id", "pos", "post_id", "kind", "status", F.coalesce("ignored_reason", F.lit("-")).alias("reason"))
+
+
+@query(
+    "routines_match",
+    f"WITH {MATCHED_SQL} SELECT routine_id, post_id, coalesce(reason, 'accepted') AS verdict FROM matched",
+)
+def routines_match(i: Inputs):
+    rows = r.match_routines(i.posts, ROUTINES, AS_OF)
+    return rows.select("routine_id", "post_id", F.coalesce("ignored_reason", F.lit("accepted")).alias("verdict"))
+
+
+@query("accept_horizon", f"WITH {FEED_SQL} SELECT routine_id, CAST(pos AS INT) AS pos, post_id FROM feed")
+def accept_horizon(i: Inputs):
+    rows = r.feed_window(r.match_routines(i.posts, ROUTINES, AS_OF), ROUTINES)
+    return rows.select("routine_id", "pos", "post_id")
+
+
+@query("accept_limit", f"WITH {SEEN_SQL} SELECT {SEEN_COLUMNS} FROM seen")
+def accept_limit(i: Inputs):
+    return seen_columns(seen(i))
+
+
+@query(
+    "run_dedup",
+    f"""WITH {SEEN_SQL} SELECT post_id, routine_id, CAST(pos AS INT) AS pos FROM (
+          SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY routine_id, pos) AS rn FROM seen WHERE status = 'accepted')
+        WHERE rn = 1""",
+)
+def run_dedup(i: Inputs):
+    return r.once_per_run(seen(i))
+
+
+@query(
+    "run_totals",
+    f"""WITH {SEEN_SQL} SELECT routine_id, count(*) FILTER (WHERE status = 'accepted' AND kind = 'initial') AS new_posts,
+        count(*) FILTER (WHERE status = 'accepted' AND kind = 'rescrape') AS updated_posts FROM seen GROUP BY routine_id""",
+)
+def run_totals(i: Inputs):
+    return r.run_totals(seen(i))
+
+
+@query(
+    "untracked_select",
+    f"""WITH empty_state AS (SELECT * FROM known_state WHERE FALSE), {seen_sql('empty_state')}
+        SELECT {SEEN_COLUMNS} FROM seen""",
+)
+def untracked_select(i: Inputs):
+    return seen_columns(r.run_routines(i.posts, ROUTINES, AS_OF, None))
+
+
+def one_after_the_other() -> str:
+    """SQL of the second and fourth routine run in this order on one state."""
+    base = seen_sql("known_state")
+    return f"""{base},
+first_run AS (SELECT * FROM seen WHERE routine_id = 2),
+judged_next AS (
+  SELECT f.*, CASE WHEN a.post_id IS NOT NULL THEN 'hit' WHEN s.post_id IS NULL THEN 'initial'
+      WHEN s.rescrape_after < {CLOCK} THEN 'rescrape' ELSE 'hit' END AS kind
+  FROM feed f LEFT JOIN known_state s ON f.post_id = s.post_id
+  LEFT JOIN (SELECT post_id FROM first_run WHERE status = 'accepted') a ON f.post_id = a.post_id WHERE f.routine_id = 4),
+verdicts_next AS (SELECT *, CASE WHEN kind = 'hit' THEN 'hit' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status
+  FROM judged_next),
+counted_next AS (SELECT *, coalesce(sum(CASE WHEN status = 'accepted' THEN 1 ELSE 0 END) OVER (
+    ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM verdicts_next)"""
+
+
+@query(
+    "routines_sequential",
+    f"""WITH {one_after_the_other()} SELECT {SEEN_COLUMNS} FROM first_run
+        UNION ALL SELECT {SEEN_COLUMNS} FROM counted_next WHERE taken < most""",
+)
+def routines_sequential(i: Inputs):
+    return seen_columns(r.run_sequential(i.posts, [ROUTINES[1], ROUTINES[3]], AS_OF, i.known_state))
+
+
+@query(
+    "run_state",
+    f"""WITH {SEEN_SQL}, chosen AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY routine_id, pos) AS rn
+            FROM seen WHERE status = 'accepted') WHERE rn = 1),
+        hit_ids AS (SELECT DISTINCT post_id FROM seen WHERE status = 'hit')
+        SELECT coalesce(s.post_id, c.post_id) AS post_id, coalesce(p.title, s.title) AS title,
+          coalesce(CASE WHEN c.post_id IS NULL THEN s.label ELSE {LABEL_SQL} END, '-') AS label,
+          CASE WHEN c.post_id IS NULL THEN s.sort_method WHEN c.routine_id IN (1, 5) THEN 'new'
+            WHEN c.routine_id = 3 THEN 'comments' ELSE 'top' END AS sort_method,
+          coalesce(s.first_scrape_timestamp, {CLOCK}) AS first_scrape_timestamp,
+          CASE WHEN c.post_id IS NOT NULL THEN {CLOCK} WHEN h.post_id IS NOT NULL
+            THEN greatest(s.last_scrape_timestamp, {CLOCK}) ELSE s.last_scrape_timestamp END AS last_scrape_timestamp
+        FROM known_state s FULL JOIN chosen c ON s.post_id = c.post_id LEFT JOIN posts p ON p.post_id = c.post_id
+        LEFT JOIN hit_ids h ON h.post_id = s.post_id""",
+)
+def run_state(i: Inputs):
+    after = run(i.posts, i.comments, i.known_state, ROUTINES, AS_OF).state
+    return after.select(
+        "post_id", "title", F.coalesce("label", F.lit("-")).alias("label"), "sort_method",
+        "first_scrape_timestamp", "last_scrape_timestamp",
+    )
+
+
+DIGEST = r.make_routine({"name": "digest", "sort": "top", "max_results": 10, "allow_nsfw": True}, routine_id=1)
+
+
+@query(
+    "routine_notes",
+    f"""WITH RECURSIVE {tree_sql(PRESETS['MD'])},
+      candidates AS (SELECT * FROM posts WHERE post_id IN (SELECT post_id FROM comments) AND score >= 50
+        AND post_id NOT IN (SELECT post_id FROM known_state)),
+      chosen AS (SELECT * FROM candidates ORDER BY score DESC, post_id LIMIT 10),
+      sections AS (SELECT post_id, count(*) AS n_comments, string_agg({LINE_SQL}, '' ORDER BY path) AS comment_section
+        FROM tree GROUP BY post_id)
+      SELECT c.post_id, title, {LABEL_SQL} AS label, score, coalesce(n_comments, 0) AS n_comments,
+        '# ' || title || chr(10) || coalesce(comment_section, '') AS note
+      FROM chosen c LEFT JOIN sections s ON c.post_id = s.post_id""",
+)
+def routine_notes(i: Inputs):
+    """New posts with a captured thread: the ten best, their best comments, as notes."""
+    threads = i.comments.select("post_id").distinct()
+    unknown = i.posts.join(threads, "post_id", "left_semi").join(i.known_state.select("post_id"), "post_id", "left_anti")
+    judged = r.run_routines(unknown, [DIGEST], AS_OF, None)
+    chosen = cut_lineage(judged.filter(F.col("status") == "accepted"))
+    # at most max_results ids
+    tree = trim_tree(i.comments.join(F.broadcast(chosen.select("post_id")), "post_id", "left_semi"), DIGEST.detail)
+    ordered = F.array_sort(F.collect_list(F.struct("path", "line")))
+    lines = render.comment_lines(tree).groupBy("post_id").agg(F.count("*").alias("n_comments"), ordered.alias("lines"))
+    section = F.array_join(F.transform("lines", lambda x: x["line"]), "")
+    notes = chosen.join(lines.select("post_id", "n_comments", section.alias("section")), "post_id", "left")
+    return notes.select(
+        "post_id", "title", label(F.col("post_flair")).alias("label"), "score",
+        F.coalesce("n_comments", F.lit(0)).alias("n_comments"),
+        F.concat(F.lit("# "), "title", F.lit("\n"), F.coalesce("section", F.lit(""))).alias("note"),
+    )

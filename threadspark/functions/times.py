@@ -18,8 +18,7 @@ TIMEFRAMES = {
     "year": "INTERVAL 1 YEAR",
 }
 
-# Display and parse formats.
-MINUTE_FORMAT = "yyyy-MM-dd HH:mm"
+# Fixed value: the end of an ISO text with a zone.
 ISO_ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -58,8 +57,19 @@ def parse_plain(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), text.try_cast("timestamp_ntz"))
 
 
+def day_text(column: Column) -> Column:
+    """``yyyy-MM-dd``; like its siblings cut from the plain text, so no zone is involved."""
+    return F.substring(column.cast("string"), 1, 10)
+
+
 def minute_text(column: Column) -> Column:
-    return F.date_format(column, MINUTE_FORMAT)
+    """``yyyy-MM-dd HH:mm``"""
+    return F.substring(column.cast("string"), 1, 16)
+
+
+def iso_text(column: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss``"""
+    return F.replace(F.substring(column.cast("string"), 1, 19), F.lit(" "), F.lit("T"))
 
 
 def to_instant(column: Column) -> Column:

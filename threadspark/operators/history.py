@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadspark.functions.times import iso_text
 from threadspark.operators.ranking import HOT_ROWS, pack_parts
 
 PART_ENTRIES = 1000
@@ -18,8 +19,7 @@ def query_map(settings: Column) -> Column:
 
 
 def entry(kind: Column, ts: Column, query: Column) -> Column:
-    stamp = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.struct(kind.alias("type"), stamp.alias("timestamp"), query_map(query).alias("query"))
+    return F.struct(kind.alias("type"), iso_text(ts).alias("timestamp"), query_map(query).alias("query"))
 
 
 def decode(text: Column) -> Column:

@@ -39,13 +39,13 @@ def post_edges(posts: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
 def resolve_links(edges: DataFrame, state: DataFrame) -> DataFrame:
     """Adds ``link``: the note link of a known target, else the URL.
 
-    Links that are no permalinks skip the join, so they do not meet in one
-    partition under a null key.
+    A link that is no permalink gets a key of its own post that no id can equal, so
+    such links do not meet in one partition under a null key.
     """
-    inner = edges.filter(F.col("dst_id").isNotNull()).join(note_names(state), "dst_id", "left")
-    known = inner.select(*edges.columns, F.coalesce("wiki", "url").alias("link"))
-    outer = edges.filter(F.col("dst_id").isNull()).withColumn("link", F.col("url"))
-    return known.unionByName(outer)
+    no_target = F.concat(F.lit("-"), F.col("post_id"))
+    keyed = edges.withColumn("_key", F.coalesce("dst_id", no_target))
+    joined = keyed.join(note_names(state).withColumnRenamed("dst_id", "_key"), "_key", "left")
+    return joined.select(*edges.columns, F.coalesce("wiki", "url").alias("link"))
 
 
 def post_links(posts: DataFrame, state: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:

@@ -89,6 +89,6 @@ def pack_parts(
     ranked = rank_within(df.withColumn("_value", value), keys, order, "_rank", hot_rows)
     ranked = ranked.withColumn("part", F.floor((F.col("_rank") - 1) / part_rows).cast("int"))
     packed = ranked.groupBy(*keys, "part").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "_value"))).alias("_items")
+        F.array_sort(F.collect_list(F.struct("_rank", "_value")), lambda a, b: a["_rank"] - b["_rank"]).alias("_items")
     )
     return packed.select(*keys, "part", F.transform("_items", lambda x: x["_value"]).alias("items"))

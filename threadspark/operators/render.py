@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadspark.functions import template
 from threadspark.functions.text import label, note_name, python_bool
-from threadspark.functions.times import minute_text, ntz
+from threadspark.functions.times import day_text, iso_text, minute_text, ntz
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.operators.links import inline_links, post_links
 from threadspark.operators.ranking import pack_parts
@@ -60,7 +60,8 @@ UPDATE_TEMPLATE = """
 ${comments}
 """
 
-END_OF_SUBTREE = F.struct(F.lit(2147483647).alias("down"), F.lit(9223372036854775807).alias("seq"))
+# Sorts behind every step of a path.
+LAST_STEP = (2147483647, 9223372036854775807)
 
 
 def comment_lines(tree: DataFrame, layout: str = COMMENT_TEMPLATE) -> DataFrame:
@@ -81,7 +82,8 @@ def comment_lines(tree: DataFrame, layout: str = COMMENT_TEMPLATE) -> DataFrame:
     opening = F.struct(F.col("path").alias("path"), template.render(head, values).alias("line"))
     if not tail:
         return tree.select("post_id", "comment_id", F.col("path"), opening["line"].alias("line"))
-    end_path = F.concat("path", F.array(END_OF_SUBTREE.cast("struct<down:int,seq:bigint>")))
+    last = F.struct(F.lit(LAST_STEP[0]).alias("down"), F.lit(LAST_STEP[1]).alias("seq"))
+    end_path = F.concat("path", F.array(last))
     closing = F.struct(end_path.alias("path"), template.render(tail, values).alias("line"))
     both = tree.select("post_id", "comment_id", F.explode(F.array(opening, closing)).alias("_l"))
     return both.select("post_id", "comment_id", "_l.path", "_l.line")
@@ -144,12 +146,10 @@ def post_values(as_of: datetime, hours: float | None = None) -> dict[str, Column
         "is_gallery": python_bool(F.col("is_gallery")),
         "stickied": python_bool(F.col("stickied")),
         "spoiler": python_bool(F.col("spoiler")),
-        "date_posted": F.date_format("created_utc", "yyyy-MM-dd"),
+        "date_posted": day_text(F.col("created_utc")),
         "date_created": minute_text(F.col("created_utc")),
         "date_scraped": minute_text(ntz(as_of)),
-        "rescrape_after": F.concat(
-            F.lit("rescrape_after: "), F.date_format(visit, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n")
-        ),
+        "rescrape_after": F.concat(F.lit("rescrape_after: "), iso_text(visit), F.lit("\n")),
     }
 
 

@@ -15,14 +15,15 @@ from threadspark.plans.rules import is_due
 from threadspark.schema import CORE_COLUMNS, RICH_COLUMNS, STATE_COLUMNS
 
 
-def conform(rows: DataFrame) -> DataFrame:
-    """Rows with exactly the state columns, in order; missing ones are null."""
+def conform(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Rows with exactly the state columns, in order; missing ones are null. ``extra`` columns follow."""
     present = set(rows.columns)
     return rows.select(
         *[
             (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
             for name, kind in STATE_COLUMNS.items()
-        ]
+        ],
+        *extra,
     )
 
 
@@ -61,9 +62,8 @@ def maturing(state: DataFrame, as_of: datetime, subreddit: str | None = None) ->
     return due if subreddit is None else due.filter(F.col("subreddit") == subreddit)
 
 
-def detailed(posts: DataFrame, detailed_db: bool, save_json: bool) -> DataFrame:
-    """Posts with the rich state columns, filled if asked for or if no JSON is kept."""
-    keep = detailed_db or not save_json
+def detailed(posts: DataFrame, keep: Column) -> DataFrame:
+    """Posts with the rich state columns, filled where ``keep`` is true."""
     rich: dict[str, Column] = {
         "upvote_ratio": F.col("upvote_ratio"),
         "num_comments": F.col("num_comments"),
@@ -74,27 +74,29 @@ def detailed(posts: DataFrame, detailed_db: bool, save_json: bool) -> DataFrame:
         "post_flair": F.col("post_flair"),
         "selftext_snippet": F.substring("selftext", 1, 200),
     }
-    return posts.withColumns({k: v if keep else F.lit(None).cast(STATE_COLUMNS[k]) for k, v in rich.items()})
+    return posts.withColumns({name: F.when(keep, value) for name, value in rich.items()})
 
 
-def latest(batch: DataFrame, columns: Sequence[str], when: str, keep_values: Sequence[str] = ()) -> DataFrame:
+def latest(
+    batch: DataFrame, columns: Sequence[str], when: str, keep_values: Sequence[str] = (), earliest: Sequence[str] = ()
+) -> DataFrame:
     """One row per post of a batch that may hold several: the last value of each column.
 
-    Columns in ``keep_values`` take their last value that is not null. The maxima
-    combine on the map side, so a post with many copies does not gather them in
-    one task.
+    Columns in ``keep_values`` take their last value that is not null, those in
+    ``earliest`` their smallest. All of it combines on the map side, so a post with
+    many copies does not gather them in one task.
     """
     picks = [F.max_by(c, when).alias(c) for c in columns if c not in keep_values]
     picks += [F.expr(f"max_by({c}, {when}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in keep_values]
+    picks += [F.min(c).alias(c) for c in earliest]
     return batch.groupBy("post_id").agg(*picks)
 
 
 def upsert_first(state: DataFrame, batch: DataFrame) -> DataFrame:
     """First-scrape writes: new posts are added, known ones replaced but for their first visit."""
     rows = [c for c in STATE_COLUMNS if c not in ("post_id", "first_scrape_timestamp")]
-    fresh = latest(batch, rows, "last_scrape_timestamp")
-    starts = batch.groupBy("post_id").agg(F.min("first_scrape_timestamp").alias("first_scrape_timestamp"))
-    fresh = fresh.join(starts, "post_id").withColumn("_new", F.lit(True))
+    fresh = latest(batch, rows, "last_scrape_timestamp", earliest=["first_scrape_timestamp"])
+    fresh = fresh.withColumn("_new", F.lit(True))
     both = state.alias("old").join(fresh.alias("new"), "post_id", "full")
     merged = {c: F.when(F.col("_new"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in rows}
     merged["first_scrape_timestamp"] = F.coalesce("old.first_scrape_timestamp", "new.first_scrape_timestamp")

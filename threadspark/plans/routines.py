@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from datetime import datetime
 
@@ -173,14 +173,19 @@ def match_routines(posts: DataFrame, routines: Sequence[Routine], as_of: datetim
     return matched.select("*", "_hit.*").drop("_hit")
 
 
+def by_routine(routines: Sequence[Routine], value: Callable[[Routine], Column]) -> Column:
+    """A setting, or an expression made from it, chosen by each row's ``routine_id``."""
+    chosen = F.lit(None)
+    for routine in routines:
+        chosen = F.when(F.col("routine_id") == routine.routine_id, value(routine)).otherwise(chosen)
+    return chosen
+
+
 def feed_window(matched: DataFrame, routines: Sequence[Routine]) -> DataFrame:
     """The feed positions each routine looks at, numbered from 0 in ``pos``."""
     deepest = max(r.horizon for r in routines)
-    first = F.lit(None).cast("int")
-    last = F.lit(None).cast("int")
-    for r in routines:
-        first = F.when(F.col("routine_id") == r.routine_id, r.offset).otherwise(first)
-        last = F.when(F.col("routine_id") == r.routine_id, r.horizon).otherwise(last)
+    first = by_routine(routines, lambda r: F.lit(r.offset))
+    last = by_routine(routines, lambda r: F.lit(r.horizon))
     ranked = top_k(matched, ["routine_id"], [F.desc("sort_key"), F.col("post_id")], deepest, "_rank", ["post_id"])
     pos = (F.col("_rank") - 1).cast("int")
     return ranked.withColumn("pos", pos).filter((F.col("pos") >= first) & (F.col("pos") < last)).drop("_rank")
@@ -213,9 +218,7 @@ def accept(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
     ``status`` is accepted, rejected or hit. The window covers one routine's
     positions, at most its horizon.
     """
-    limit = F.lit(None).cast("int")
-    for r in routines:
-        limit = F.when(F.col("routine_id") == r.routine_id, r.max_results).otherwise(limit)
+    limit = by_routine(routines, lambda r: F.lit(r.max_results))
     status = (
         F.when(F.col("kind") == "hit", "hit")
         .when(F.col("ignored_reason").isNotNull(), "rejected")

@@ -19,21 +19,30 @@ def read_notes(spark: SparkSession, folder: str, log_name: str = LOG_NAME) -> Da
     return files.filter(~F.endswith("path", F.lit("/" + log_name.replace(" ", "%20"))))
 
 
-def frontmatter(content: Column) -> Column:
-    """Map of the ``key: value`` lines; the last line of a key counts; empty without frontmatter."""
+def _pairs(content: Column) -> Column:
     block = F.regexp_extract(content, FRONTMATTER, 1)
     lines = F.filter(F.split(block, "\n"), lambda line: F.contains(line, F.lit(":")))
-    pairs = F.transform(
+    return F.transform(
         lines,
         lambda line: F.struct(
             F.btrim(F.substring_index(line, ":", 1), F.lit(BLANKS)).alias("key"),
             F.btrim(F.substr(line, F.instr(line, ":") + 1), F.lit(BLANKS)).alias("value"),
         ),
     )
+
+
+def _last_wins(pairs: Column) -> Column:
     keys = F.array_distinct(F.transform(pairs, lambda pair: pair["key"]))
     last = F.transform(keys, lambda key: F.element_at(F.filter(pairs, lambda pair: pair["key"] == key), -1)["value"])
     return F.map_from_arrays(keys, last)
 
 
 def with_frontmatter(notes: DataFrame) -> DataFrame:
-    return notes.withColumn("frontmatter", frontmatter(F.col("content")))
+    """Adds ``frontmatter``: the ``key: value`` lines of ``content`` as a map.
+
+    The last line of a key counts; a note without frontmatter gets an empty map.
+    The lines pass through a one-row explode, so that a later filter on the map is
+    not pushed below it and does not read them again.
+    """
+    split = notes.select("*", F.explode(F.array(_pairs(F.col("content")))).alias("_pairs"))
+    return split.withColumn("frontmatter", _last_wins(F.col("_pairs"))).drop("_pairs")

@@ -32,7 +32,10 @@ def first_seen(sights: DataFrame, delay: str) -> DataFrame:
     Duplicates fall away per slice of a post first, so a post that most sights
     are of reaches the second step with one row per slice.
     """
-    marked = sights.withWatermark("ts", delay)
+    return _once(sights.withWatermark("ts", delay))
+
+
+def _once(marked: DataFrame) -> DataFrame:
     sliced = marked.withColumn("_slice", F.pmod(F.xxhash64("seq"), F.lit(SALTS)))
     once = sliced.dropDuplicatesWithinWatermark(["post_id", "_slice"])
     return once.dropDuplicatesWithinWatermark(["post_id"]).drop("_slice")
@@ -46,8 +49,9 @@ def young_enough(sights: DataFrame, hours: float, as_of: datetime) -> DataFrame:
 def due_visits(sights: DataFrame, hours: float, delay: str) -> DataFrame:
     """``post_id, due``: posts seen while younger than ``hours``, once the watermark passes their due time."""
     due = F.unix_micros(to_instant(F.col("post_date"))) / 1000 + hours * HOUR_MS
-    young = sights.withColumn("due_ms", due.cast("long")).filter(F.unix_millis("ts") < F.col("due_ms"))
-    watched = first_seen(young, delay).select("post_id", "ts", "due_ms")
+    # the watermark comes before the filter: sights of older posts move the clock too
+    marked = sights.withWatermark("ts", delay).withColumn("due_ms", due.cast("long"))
+    watched = _once(marked.filter(F.unix_millis("ts") < F.col("due_ms"))).select("post_id", "ts", "due_ms")
 
     def visit(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
