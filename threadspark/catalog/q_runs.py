@@ -12,8 +12,9 @@ from threadspark.functions.text import label
 from threadspark.operators import render
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.plans import routines as r
-from threadspark.plans.run import run
+from threadspark.plans.run import revisit, run
 from threadspark.session import cut_lineage
+from threadspark.sinks.files import note_path
 
 CLOCK = f"TIMESTAMP '{AS_OF}'"
 
@@ -209,6 +210,54 @@ def run_state(i: Inputs):
     )
 
 
+REVISIT = r.make_routine({"sort": "new", "ignore_below_score": 100, "rescrape_newer_than_hours": 12}, routine_id=1)
+REVISITED_SQL = f"""revisited AS (
+  SELECT p.* FROM posts p JOIN known_state s ON p.post_id = s.post_id WHERE s.rescrape_after < {CLOCK} AND p.score >= 100)"""
+
+
+def revisited(i: Inputs):
+    posts = i.posts
+    old = posts.select(
+        "post_id",
+        note_path(posts, "subreddit").alias("path"),
+        F.concat(F.lit("---\nscore: 1\nrescrape_after: soon\n---\n# "), "title", F.lit("\n")).alias("content"),
+    )
+    return revisit(posts, i.comments, i.known_state, old, REVISIT, AS_OF)
+
+
+@query(
+    "revisit_state",
+    f"""WITH {REVISITED_SQL}
+        SELECT s.post_id, s.title, CASE WHEN r.post_id IS NULL THEN coalesce(s.label, '-') ELSE {LABEL_SQL.replace('post_flair', 'r.post_flair')} END AS label,
+          coalesce(s.file_path, CASE WHEN r.post_id IS NOT NULL THEN r.subreddit || '_' || r.post_id || '.md' END, '-') AS file_path,
+          CASE WHEN r.post_id IS NULL THEN s.last_scrape_timestamp ELSE {CLOCK} END AS last_scrape_timestamp,
+          coalesce(CAST(CASE WHEN r.post_id IS NULL THEN s.rescrape_after WHEN r.created_utc > {CLOCK} - INTERVAL '12' HOUR
+            THEN r.created_utc + INTERVAL '12' HOUR END AS VARCHAR), '-') AS visit
+        FROM known_state s LEFT JOIN revisited r ON s.post_id = r.post_id""",
+)
+def revisit_state(i: Inputs):
+    after = revisited(i).state
+    return after.select(
+        "post_id", "title", F.coalesce("label", F.lit("-")).alias("label"),
+        F.coalesce("file_path", F.lit("-")).alias("file_path"), "last_scrape_timestamp",
+        F.coalesce(F.col("rescrape_after").cast("string"), F.lit("-")).alias("visit"),
+    )
+
+
+@query(
+    "revisit_notes",
+    f"""WITH RECURSIVE {tree_sql(PRESETS['MD'])}, {REVISITED_SQL},
+        sections AS (SELECT post_id, string_agg({LINE_SQL}, '' ORDER BY path) AS section FROM tree GROUP BY post_id)
+        SELECT r.post_id, r.subreddit || '/' || r.subreddit || '_' || r.post_id || '.md' AS path,
+          '---' || chr(10) || 'score: ' || CAST(r.score AS VARCHAR) || chr(10) || 'rescraped_date: 2001-07-01 00:00' || chr(10)
+          || '---' || chr(10) || '# ' || r.title || chr(10) || chr(10) || chr(10) || '---' || chr(10)
+          || '## Updated Comments (2001-07-01 00:00)' || chr(10) || chr(10) || coalesce(s.section, '') || chr(10) AS content
+        FROM revisited r LEFT JOIN sections s ON r.post_id = s.post_id""",
+)
+def revisit_notes(i: Inputs):
+    return revisited(i).notes.select("post_id", "path", "content")
+
+
 DIGEST = r.make_routine({"name": "digest", "sort": "top", "max_results": 10, "allow_nsfw": True}, routine_id=1)
 
 

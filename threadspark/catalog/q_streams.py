@@ -42,15 +42,17 @@ def landing(i: Inputs, folder: str) -> Iterator[None]:
 def append_run(i: Inputs, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The table an append stream has written after all slices."""
     folder, out, checkpoint = (fresh_path(i.spark, name) for name in ("landed", "out", "checkpoint"))
+    cores = i.spark.sparkContext.defaultParallelism
     for _ in landing(i, folder):
-        streams.append_to(build(streams.read_sights(i.spark, folder, SIGHTS_DDL)), out, checkpoint)
+        streams.append_to(build(streams.read_sights(i.spark, folder, SIGHTS_DDL)), out, checkpoint, cores)
     return i.spark.read.parquet(out)
 
 
 def batch_run(i: Inputs, work: Callable[[DataFrame, int], None]) -> None:
     folder, checkpoint = fresh_path(i.spark, "landed"), fresh_path(i.spark, "checkpoint")
+    cores = i.spark.sparkContext.defaultParallelism
     for _ in landing(i, folder):
-        streams.each_batch(streams.read_sights(i.spark, folder, SIGHTS_DDL), work, checkpoint)
+        streams.each_batch(streams.read_sights(i.spark, folder, SIGHTS_DDL), work, checkpoint, cores)
 
 
 @query("stream_first_seen", "SELECT DISTINCT post_id FROM observations")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -186,13 +185,14 @@ def render_posts(
     return notes.unionByName(rest.select("post_id", "part", F.col("comment_section").alias("content")))
 
 
+def update_block(section: Column, as_of: datetime, layout: str = UPDATE_TEMPLATE) -> Column:
+    return template.render(layout, {"update_timestamp": minute_text(ntz(as_of)), "comments": section})
+
+
 def render_updates(sections: DataFrame, as_of: datetime, layout: str = UPDATE_TEMPLATE) -> DataFrame:
     """``post_id, update_block`` from freshly rendered comment sections."""
-    values: Mapping[str, Column] = {
-        "update_timestamp": minute_text(ntz(as_of)),
-        "comments": F.col("comment_section"),
-    }
-    return sections.withColumn("update_block", template.render(layout, values)).drop("comment_section")
+    block = update_block(F.col("comment_section"), as_of, layout)
+    return sections.withColumn("update_block", block).drop("comment_section")
 
 
 def dashboard(state: DataFrame, as_of: datetime) -> DataFrame:

@@ -212,6 +212,17 @@ def classify(feed: DataFrame, as_of: datetime) -> DataFrame:
     return feed.withColumn("kind", kind)
 
 
+def with_status(feed: DataFrame) -> DataFrame:
+    """``status`` of classified rows: hit, rejected or accepted; only rejected rows keep a reason."""
+    status = (
+        F.when(F.col("kind") == "hit", "hit")
+        .when(F.col("ignored_reason").isNotNull(), "rejected")
+        .otherwise("accepted")
+    )
+    reason = F.when(F.col("status") == "rejected", F.col("ignored_reason"))
+    return feed.withColumn("status", status).withColumn("ignored_reason", reason)
+
+
 def accept(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
     """Rows a run really sees: in feed order until ``max_results`` are accepted.
 
@@ -219,16 +230,10 @@ def accept(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
     positions, at most its horizon.
     """
     limit = by_routine(routines, lambda r: F.lit(r.max_results))
-    status = (
-        F.when(F.col("kind") == "hit", "hit")
-        .when(F.col("ignored_reason").isNotNull(), "rejected")
-        .otherwise("accepted")
-    )
     earlier = Window.partitionBy("routine_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum((F.col("status") == "accepted").cast("int")).over(earlier), F.lit(0))
-    seen = feed.withColumn("status", status).withColumn("_taken", taken).filter(F.col("_taken") < limit)
-    reason = F.when(F.col("status") == "rejected", F.col("ignored_reason"))
-    return seen.withColumn("ignored_reason", reason).drop("_taken")
+    seen = with_status(feed).withColumn("_taken", taken).filter(F.col("_taken") < limit)
+    return seen.drop("_taken")
 
 
 def run_routines(posts: DataFrame, routines: Sequence[Routine], as_of: datetime, state: DataFrame | None) -> DataFrame:

@@ -13,12 +13,61 @@ from threadspark.functions.text import label
 from threadspark.functions.times import ntz
 from threadspark.operators import render
 from threadspark.operators import state as tracking
+from threadspark.operators.notes import patch_notes
 from threadspark.plans import rules
-from threadspark.plans.routines import BROADCAST_ROWS, Routine, by_routine, once_per_run, run_routines
+from threadspark.plans.routines import (
+    BROADCAST_ROWS,
+    Routine,
+    by_routine,
+    classify,
+    once_per_run,
+    run_routines,
+    with_status,
+)
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
 
 
+def judge(posts: DataFrame, state: DataFrame, routine: Routine, as_of: datetime) -> DataFrame:
+    """Named posts with ``kind`` and ``status``, judged by one routine's rules and no limit."""
+    known = classify(tracking.lookup(posts, state), as_of)
+    return with_status(rules.with_verdict(known, routine, as_of).withColumn("routine_id", F.lit(routine.routine_id)))
+
+
+class Revisit(NamedTuple):
+    """``accepted``: due posts that still pass the rules; ``notes``: their patched
+    notes; ``state``: the tracking table afterwards."""
+
+    accepted: DataFrame
+    notes: DataFrame
+    state: DataFrame
+
+
+def revisit(
+    posts: DataFrame, comments: DataFrame, state: DataFrame, notes: DataFrame, settings: Routine, as_of: datetime
+) -> Revisit:
+    """Visit every post again whose time has come.
+
+    ``posts`` and ``comments`` are fresh captures, ``notes`` has ``post_id, path,
+    content``. A post that no longer passes keeps its row and its note.
+    """
+    due = posts.join(tracking.maturing(state, as_of).select("post_id"), "post_id", "left_semi")
+    accepted = cut_lineage(judge(due, state, settings, as_of).filter(F.col("status") == "accepted"))
+    threads = comments.join(accepted.select("post_id"), "post_id", "left_semi")
+    sections = render.render_comments(threads, settings.detail, state)
+    blocks = render.render_updates(sections.filter(F.col("part") == 0).drop("part"), as_of)
+    bare = render.update_block(F.lit(""), as_of)
+    updates = accepted.select("post_id", "score").join(blocks, "post_id", "left")
+    updates = updates.withColumn("update_block", F.coalesce("update_block", bare))
+    rows = state_rows(accepted, [settings], as_of).drop("kind")
+    paths = state.select("post_id", F.col("file_path").alias("_path"))
+    rows = rows.join(paths, "post_id", "left").withColumn("file_path", F.coalesce("_path", "file_path")).drop("_path")
+    patched = patch_notes(notes, updates, as_of).withColumn("part", F.lit(0))
+    more = sections.filter(F.col("part") > 0).join(patched.select("post_id", "path"), "post_id")
+    more = more.select("post_id", "path", F.col("comment_section").alias("content"), "part")
+    return Revisit(accepted, patched.unionByName(more), tracking.update_later(tracking.conform(state), rows))
+
+
 class Run(NamedTuple):
     """``seen``: every feed row looked at; ``accepted``: each accepted post once, with
     its routine; ``notes``: rendered notes; ``state``: the tracking table afterwards."""

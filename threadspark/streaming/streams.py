@@ -12,6 +12,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from threadspark.functions.times import hours_before, to_instant
 from threadspark.operators.state import upsert_first
@@ -71,18 +72,39 @@ def due_visits(sights: DataFrame, hours: float, delay: str) -> DataFrame:
     )
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append everything that is available to a parquet table and stop."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    query = writer.trigger(availableNow=True).start(path)
+PARTITIONS_KEY = "spark.sql.shuffle.partitions"
+
+
+def _run(
+    spark: SparkSession, writer: DataStreamWriter, checkpoint: str, partitions: int | None, path: str | None = None
+) -> None:
+    """Process everything that is available, then stop.
+
+    A stream's number of state partitions is fixed by its first run, so it is an
+    argument here; the session's own setting is back in place once the stream has
+    taken its copy.
+    """
+    before = spark.conf.get(PARTITIONS_KEY)
+    if partitions:
+        spark.conf.set(PARTITIONS_KEY, str(partitions))
+    try:
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        spark.conf.set(PARTITIONS_KEY, before)
     query.awaitTermination()
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def append_to(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> None:
+    """Append everything that is available to a parquet table and stop."""
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    _run(stream.sparkSession, writer, checkpoint, partitions, path)
+
+
+def each_batch(
+    stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, partitions: int | None = None
+) -> None:
     """Run ``work`` on everything that is available, batch by batch, and stop."""
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    _run(stream.sparkSession, stream.writeStream.foreachBatch(work), checkpoint, partitions)
 
 
 def upsert_into(table: Snapshots, to_rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
