@@ -11,7 +11,7 @@ from threadspark.functions.text import strip_prefix
 from threadspark.functions.times import from_epoch, ntz
 from threadspark.session import cut_lineage
 
-LEVELS_PER_PASS = 4
+LEVELS_PER_PASS = 6
 
 # Field of the raw post, its type and its default.
 TEXT_FIELDS = {
@@ -88,6 +88,21 @@ def _next_level(rows: DataFrame) -> DataFrame:
     return rows.select("post_id", F.explode(opened).alias("c"))
 
 
+def _to_the_bottom(rows: DataFrame) -> DataFrame:
+    """Unfold until no reply is unread; only rows with unread replies enter the next pass."""
+    unread = F.col("c.replies").isNotNull()
+    done: DataFrame | None = None
+    while True:
+        for _ in range(LEVELS_PER_PASS):
+            rows = _next_level(rows)
+        rows = cut_lineage(rows)
+        finished = rows.filter(~unread)
+        done = finished if done is None else done.unionByName(finished)
+        rows = rows.filter(unread)
+        if rows.isEmpty():
+            return done
+
+
 def flatten_comments(parsed: DataFrame, levels: int | None = None) -> DataFrame:
     """Comment rows of every document, ``levels`` deep or to the bottom.
 
@@ -102,12 +117,7 @@ def flatten_comments(parsed: DataFrame, levels: int | None = None) -> DataFrame:
         for _ in range(levels - 1):
             rows = _next_level(rows)
     else:
-        while True:
-            for _ in range(LEVELS_PER_PASS):
-                rows = _next_level(rows)
-            rows = cut_lineage(rows)
-            if rows.filter(F.col("c.replies").isNotNull()).isEmpty():
-                break
+        rows = _to_the_bottom(rows)
     path = F.col("c.path")
     parent = F.when(F.size(path) > 1, F.array_join(F.slice(path, 1, F.size(path) - 1), "."))
     return rows.select(
