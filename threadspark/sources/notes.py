@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadspark.functions.text import BLANKS
+from threadspark.sources.documents import read_documents
 
 LOG_NAME = "Scrape Log.md"
 FRONTMATTER = r"(?s)\A---\n(.*?)\n---\n"
@@ -13,9 +14,7 @@ FRONTMATTER = r"(?s)\A---\n(.*?)\n---\n"
 
 def read_notes(spark: SparkSession, folder: str, log_name: str = LOG_NAME) -> DataFrame:
     """``path, content`` of every note below a folder, but for the log."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    files = reader.option("pathGlobFilter", "*.md").text(folder)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = read_documents(spark, folder, "*.md")
     return files.filter(~F.endswith("path", F.lit("/" + log_name.replace(" ", "%20"))))
 
 
