@@ -12,7 +12,7 @@ from threadspark.functions.text import label
 from threadspark.operators import render
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.plans import routines as r
-from threadspark.plans.run import revisit, run
+from threadspark.plans.run import accepted_posts, revisit, run
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
 
@@ -278,7 +278,7 @@ def routine_notes(i: Inputs):
     threads = i.comments.select("post_id").distinct()
     unknown = i.posts.join(threads, "post_id", "left_semi").join(i.known_state.select("post_id"), "post_id", "left_anti")
     judged = r.run_routines(unknown, [DIGEST], AS_OF, None)
-    chosen = cut_lineage(judged.filter(F.col("status") == "accepted"))
+    chosen = cut_lineage(accepted_posts(i.posts, judged, [DIGEST]))
     # at most max_results ids
     tree = trim_tree(i.comments.join(F.broadcast(chosen.select("post_id")), "post_id", "left_semi"), DIGEST.detail)
     ordered = F.array_sort(F.collect_list(F.struct("path", "line")))

@@ -50,25 +50,34 @@ def _step() -> Column:
     return F.struct((-F.col("score")).alias("down"), F.col("seq").alias("seq"))
 
 
+def _best(comments: DataFrame, limit: int) -> DataFrame:
+    order = [F.desc("score"), F.col("seq")]
+    return top_k(comments, ["post_id", "parent_id"], order, limit, "_rank", ["comment_id"]).drop("_rank")
+
+
 def _level_tree(comments: DataFrame, limits: tuple[int, ...]) -> DataFrame:
-    best = top_k(
-        valid_comments(comments), ["post_id", "parent_id"], [F.desc("score"), F.col("seq")],
-        max(limits), "_rank", ["comment_id"],
-    )
-    level = best.filter(F.col("parent_id").isNull() & (F.col("_rank") <= limits[0]))
-    level = level.withColumn("depth", F.lit(0)).withColumn("path", F.array(_step()))
-    tree = level
+    """One read of the comments per level.
+
+    A level but the last is written before the next one joins it: it holds only
+    the few comments kept, while computing it again would read and sort all of them.
+    """
+    valid = valid_comments(comments)
+    tops = valid.filter(F.col("parent_id").isNull())
+    replies = valid.filter(F.col("parent_id").isNotNull())
+    level = _best(tops, limits[0]).withColumn("depth", F.lit(0)).withColumn("path", F.array(_step()))
+    tree = None
     for depth, limit in enumerate(limits[1:], start=1):
+        level = cut_lineage(level)
+        tree = level if tree is None else tree.unionByName(level)
         parents = level.select("post_id", F.col("comment_id").alias("parent_id"), F.col("path").alias("_up"))
         level = (
-            best.filter(F.col("parent_id").isNotNull() & (F.col("_rank") <= limit))
+            _best(replies, limit)
             .join(parents, ["post_id", "parent_id"])
             .withColumn("depth", F.lit(depth))
             .withColumn("path", F.concat("_up", F.array(_step())))
             .select(*level.columns)
         )
-        tree = tree.unionByName(level)
-    return tree.drop("_rank")
+    return level if tree is None else tree.unionByName(level)
 
 
 def ancestor_paths(comments: DataFrame) -> DataFrame:

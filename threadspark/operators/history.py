@@ -50,27 +50,40 @@ def history_parts(
     return pack_parts(log, ["post_id"], [F.col("ts"), F.col("seq")], value, part_entries, hot_rows)
 
 
+def kind_moments(sights: DataFrame, due: Column) -> DataFrame:
+    """``post_id, _first, _late``: each post's first sight and its first one past its due time.
+
+    ``due`` follows from the post date, which is the same in every sight of a post.
+    Both moments are minima in one aggregation that combines on the map side, so no
+    task sorts one post's whole history.
+    """
+    moment = F.struct("ts", "seq")
+    return sights.groupBy("post_id").agg(
+        F.min(F.struct(F.col("ts"), F.col("seq"), due.alias("due"))).alias("_first"),
+        F.min(F.when(F.col("ts") > due, moment)).alias("_late"),
+    )
+
+
+def sight_kind(first: Column, again: Column) -> Column:
+    moment = F.struct("ts", "seq")
+    return (
+        F.when(moment == first, "initial")
+        .when(F.coalesce(moment == again, F.lit(False)), "rescrape")
+        .otherwise("hit")
+    )
+
+
 def classify_sights(sights: DataFrame, hours: float) -> DataFrame:
     """``kind`` of every sight of a post: initial, hit or rescrape.
 
     The first sight is the scrape. If the post was then younger than ``hours``, the
     first sight after ``post_date + hours`` is the one revisit; all others are hits.
-    Both moments are minima per post, so no task sorts one post's whole history.
     """
-    moment = F.struct("ts", "seq")
-    first = sights.groupBy("post_id").agg(F.min(F.struct("ts", "seq", "post_date")).alias("_first"))
-    due = F.col("_first.post_date") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600))
-    first = first.select(
+    due = F.col("post_date") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600))
+    moments = kind_moments(sights, due).select(
         "post_id",
         F.struct("_first.ts", "_first.seq").alias("_first"),
-        F.when(F.col("_first.ts") < due, due).alias("_due"),
-    )
-    joined = sights.join(first, "post_id")
-    later = joined.filter(F.col("ts") > F.col("_due")).groupBy("post_id").agg(F.min(moment).alias("_again"))
-    marked = joined.join(later, "post_id", "left")
-    kind = (
-        F.when(moment == F.col("_first"), "initial")
-        .when(F.coalesce(moment == F.col("_again"), F.lit(False)), "rescrape")
-        .otherwise("hit")
+        F.when(F.col("_first.ts") < F.col("_first.due"), F.col("_late")).alias("_again"),
     )
-    return marked.withColumn("kind", kind).select(*sights.columns, "kind")
+    marked = sights.join(moments, "post_id")
+    return marked.withColumn("kind", sight_kind(F.col("_first"), F.col("_again"))).select(*sights.columns, "kind")

@@ -131,12 +131,26 @@ def newest_first(state: DataFrame) -> DataFrame:
 
 
 def prune(state: DataFrame, keep_rows: int) -> DataFrame:
-    """State with ``keep``: false for the oldest rows beyond the limit; a limit of 0 keeps all."""
+    """State with ``keep``: false for the oldest rows beyond the limit; a limit of 0 keeps all.
+
+    Only time and id are sorted, to find the last row that stays; the table itself
+    is compared with that one row.
+    """
     if keep_rows <= 0:
         return state.withColumn("keep", F.lit(True))
-    order = [F.desc("last_scrape_timestamp"), F.col("post_id")]
-    placed = global_position(state, order, "_pos")
-    return placed.withColumn("keep", F.col("_pos") <= keep_rows).drop("_pos")
+    seen = F.coalesce("last_scrape_timestamp", F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'"))
+    keys = state.select("post_id", seen.alias("seen"))
+    placed = global_position(keys, [F.desc("seen"), F.col("post_id")], "_pos")
+    last = placed.filter(F.col("_pos") == keep_rows).first()
+    if last is None:
+        return state.withColumn("keep", F.lit(True))
+    edge = ntz(last["seen"])
+    return state.withColumn("keep", (seen > edge) | ((seen == edge) & (F.col("post_id") <= last["post_id"])))
+
+
+def _named(column: str) -> Column:
+    """A file name, or a text no file has where there is none, so that such rows do not share one key."""
+    return F.coalesce(F.col(column), F.concat(F.lit("/no file/"), F.col("post_id")))
 
 
 def reconcile(state: DataFrame, md_files: DataFrame, json_files: DataFrame) -> DataFrame:
@@ -145,16 +159,21 @@ def reconcile(state: DataFrame, md_files: DataFrame, json_files: DataFrame) -> D
     A missing note or JSON drops the row and asks for the other file to be deleted.
     Files are only expected where the state names them.
     """
-    md = md_files.select(F.col("path").alias("file_path"), F.lit(True).alias("md_present"))
-    js = json_files.select(F.col("path").alias("json_path"), F.lit(True).alias("json_present"))
-    joined = state.select("post_id", "file_path", "json_path").join(md, "file_path", "left").join(js, "json_path", "left")
-    md_missing = F.col("file_path").isNotNull() & F.col("md_present").isNull()
-    json_missing = F.col("json_path").isNotNull() & F.col("json_present").isNull()
+    rows = state.select(
+        "post_id",
+        F.col("file_path").isNotNull().alias("_md"), _named("file_path").alias("_md_key"),
+        F.col("json_path").isNotNull().alias("_js"), _named("json_path").alias("_js_key"),
+    )
+    md = md_files.select(F.col("path").alias("_md_key"), F.lit(True).alias("_md_found"))
+    js = json_files.select(F.col("path").alias("_js_key"), F.lit(True).alias("_js_found"))
+    joined = rows.join(md, "_md_key", "left").join(js, "_js_key", "left")
+    md_missing = F.col("_md") & F.col("_md_found").isNull()
+    json_missing = F.col("_js") & F.col("_js_found").isNull()
     return joined.select(
         "post_id",
         (md_missing | json_missing).alias("drop_row"),
-        (md_missing & F.col("json_present").isNotNull()).alias("delete_json"),
-        (json_missing & F.col("md_present").isNotNull()).alias("delete_md"),
+        (md_missing & F.col("_js_found").isNotNull()).alias("delete_json"),
+        (json_missing & F.col("_md_found").isNotNull()).alias("delete_md"),
     )
 
 
@@ -172,12 +191,12 @@ def apply_edits(state: DataFrame, frontmatter: DataFrame) -> DataFrame:
     Notes without frontmatter change nothing.
     """
     edits = frontmatter.filter(F.size("frontmatter") > 0).select(
-        F.col("path").alias("file_path"),
+        F.col("path").alias("_key"),
         F.try_element_at("frontmatter", F.lit("flair")).alias("_flair"),
         F.try_element_at("frontmatter", F.lit("rescrape_after")).alias("_visit"),
         F.lit(True).alias("_note"),
     )
-    joined = state.join(edits, "file_path", "left")
+    joined = state.withColumn("_key", _named("file_path")).join(edits, "_key", "left")
     edited = F.coalesce("_flair", F.lit("")) != ""
     cancelled = F.col("_note") & (F.coalesce("_visit", F.lit("")) == "")
     return joined.withColumns(

@@ -239,9 +239,14 @@ def accept(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
 def run_routines(posts: DataFrame, routines: Sequence[Routine], as_of: datetime, state: DataFrame | None) -> DataFrame:
     """All routines in one job, each judged against the state at the start of the run.
 
-    Without a state every post counts as new.
+    Gives ``routine_id, pos, post_id, kind, status, ignored_reason`` of every feed
+    row seen. Only the ids and keys of the posts are ranked; the feed, bounded by the
+    horizons, is written once before the state is asked about it. Without a state
+    every post counts as new.
     """
-    feed = feed_window(match_routines(posts, routines, as_of), routines)
+    matched = match_routines(posts, routines, as_of)
+    keys = matched.select("post_id", "routine_id", "sort_key", "ignored_reason")
+    feed = cut_lineage(feed_window(keys, routines))
     if state is None:
         feed = feed.withColumn("known", F.lit(False)).withColumn("rescrape_after", F.lit(None).cast("timestamp_ntz"))
     else:

@@ -133,17 +133,24 @@ def state_rows(accepted: DataFrame, routines: Sequence[Routine], as_of: datetime
     return tracking.conform(tracking.detailed(written, keep), ["kind"])
 
 
+def accepted_posts(posts: DataFrame, seen: DataFrame, routines: Sequence[Routine]) -> DataFrame:
+    """The posts of the accepted feed rows, each once, with ``routine_id, pos, kind``."""
+    first = seen.join(once_per_run(seen), ["post_id", "routine_id", "pos"], "left_semi")
+    first = first.select("post_id", "routine_id", "pos", "kind")
+    bound = sum(r.max_results for r in routines)
+    return posts.join(F.broadcast(first) if bound <= BROADCAST_ROWS else first, "post_id")
+
+
 def run(
     posts: DataFrame, comments: DataFrame, state: DataFrame, routines: Sequence[Routine], as_of: datetime
 ) -> Run:
     """All routines on the captured posts, against one state.
 
-    What the routines look at is bounded by their horizons, so it is written once
-    and every later step starts from that instead of reading the posts again.
+    What the routines look at is bounded by their horizons. It is written once, and
+    the accepted posts are fetched once by id; every later step starts from those.
     """
     seen = cut_lineage(run_routines(posts, routines, as_of, state))
-    first = once_per_run(seen)
-    accepted = seen.join(first, ["post_id", "routine_id", "pos"], "left_semi")
+    accepted = cut_lineage(accepted_posts(posts, seen, routines))
     notes = render_run(accepted, comments, state, routines, as_of)
     rows = state_rows(accepted, routines, as_of)
     after = tracking.upsert_first(tracking.conform(state), rows.filter(F.col("kind") == "initial").drop("kind"))

@@ -32,12 +32,10 @@ def write_json(posts: DataFrame, path: str) -> None:
 def write_notes(notes: DataFrame, path: str) -> None:
     """Notes as a table partitioned by ``folder``.
 
-    Rows are spread by folder and note, so a folder that holds most notes is
-    written by many tasks.
+    The rebalance hint gathers small folders and splits large ones by size, so a
+    folder that holds most notes is written by many tasks.
     """
-    spread = notes.withColumn("_slice", F.pmod(F.xxhash64("path"), F.lit(32)))
-    spread = spread.repartition("folder", "_slice").drop("_slice")
-    spread.write.mode("errorifexists").partitionBy("folder").parquet(path)
+    notes.hint("rebalance", "folder").write.mode("errorifexists").partitionBy("folder").parquet(path)
 
 
 def write_text(lines: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from threadspark.functions.times import hours_before, to_instant
+from threadspark.operators.history import kind_moments, sight_kind
 from threadspark.operators.state import upsert_first
 from threadspark.sources.state import Snapshots
 
@@ -118,48 +119,29 @@ def upsert_into(table: Snapshots, to_rows: Callable[[DataFrame], DataFrame]) ->
     return work
 
 
-SIGHT_STATE = "post_id string, first struct<ts:timestamp,seq:long>, due timestamp, again struct<ts:timestamp,seq:long>"
+SIGHT_STATE = "post_id string, first struct<ts:timestamp,seq:long>, young boolean, again struct<ts:timestamp,seq:long>"
 
 
 def classify_into(table: Snapshots, path: str, hours: float) -> Callable[[DataFrame, int], None]:
     """Batch function that appends every sight with its ``kind`` to a history table.
 
-    Per post only the first sight, the due time and the revisit are kept between
-    batches. Both are minima that combine on the map side, so a hot post costs no
-    more state than any other.
+    Per post only the first sight, whether it was young then, and the revisit are
+    kept between batches, so a hot post costs no more state than any other.
     """
-    moment = F.struct("ts", "seq")
-
     def work(batch: DataFrame, batch_id: int) -> None:
-        prior = table.read(before=batch_id)
-        fresh = batch.groupBy("post_id").agg(F.min(F.struct("ts", "seq", "post_date")).alias("_f"))
-        due = F.timestamp_micros(F.unix_micros(to_instant(F.col("_f.post_date"))) + F.lit(int(hours * HOUR_MS) * 1000))
-        fresh = fresh.select(
-            "post_id",
-            F.struct("_f.ts", "_f.seq").alias("_first"),
-            F.when(F.col("_f.ts") < due, due).alias("_due"),
-        )
-        merged = prior.join(fresh, "post_id", "full").select(
+        due = F.timestamp_micros(F.unix_micros(to_instant(F.col("post_date"))) + F.lit(int(hours * HOUR_MS) * 1000))
+        fresh = kind_moments(batch, due)
+        first = F.coalesce("first", F.struct("_first.ts", "_first.seq"))
+        young = F.coalesce("young", F.col("_first.ts") < F.col("_first.due"))
+        state = table.read(before=batch_id).join(fresh, "post_id", "full").select(
             "post_id",
-            F.coalesce("first", "_first").alias("first"),
-            F.when(F.col("first").isNull(), F.col("_due")).otherwise(F.col("due")).alias("due"),
-            "again",
-        )
-        joined = batch.join(merged, "post_id")
-        later = joined.filter((F.col("ts") > F.col("due")) & F.col("again").isNull())
-        later = later.groupBy("post_id").agg(F.min(moment).alias("_again"))
-        state = merged.join(later, "post_id", "left").select(
-            "post_id", "first", "due", F.coalesce("again", "_again").alias("again")
+            first.alias("first"),
+            young.alias("young"),
+            F.coalesce("again", F.when(young, F.col("_late"))).alias("again"),
         )
         table.commit(state, batch_id)
-        current = table.read(before=batch_id + 1)
-        marked = batch.join(current, "post_id")
-        kind = (
-            F.when(moment == F.col("first"), "initial")
-            .when(F.coalesce(moment == F.col("again"), F.lit(False)), "rescrape")
-            .otherwise("hit")
-        )
-        history = marked.withColumn("kind", kind).select(*batch.columns, "kind")
+        marked = batch.join(table.read(before=batch_id + 1), "post_id")
+        history = marked.withColumn("kind", sight_kind(F.col("first"), F.col("again"))).select(*batch.columns, "kind")
         history.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return work
