@@ -86,10 +86,10 @@ def latest(
     ``earliest`` their smallest. All of it combines on the map side, so a post with
     many copies does not gather them in one task.
     """
-    picks = [F.max_by(c, when).alias(c) for c in columns if c not in keep_values]
-    picks += [F.expr(f"max_by({c}, {when}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in keep_values]
-    picks += [F.min(c).alias(c) for c in earliest]
-    return batch.groupBy("post_id").agg(*picks)
+    whole = F.max_by(F.struct(*[c for c in columns if c not in keep_values]), when).alias("_row")
+    values = [F.expr(f"max_by({c}, {when}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in keep_values]
+    starts = [F.min(c).alias(c) for c in earliest]
+    return batch.groupBy("post_id").agg(whole, *values, *starts).select("post_id", "_row.*", *keep_values, *earliest)
 
 
 def upsert_first(state: DataFrame, batch: DataFrame) -> DataFrame:
