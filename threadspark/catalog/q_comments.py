@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadspark.catalog.inputs import SIGHT_AS_OF, Inputs
 from threadspark.catalog.registry import query
 from threadspark.operators import render
-from threadspark.operators.comments import PRESETS, sibling_ranks, trim_tree
+from threadspark.operators.comments import PRESETS, nested_comments, sibling_ranks, trim_tree
 
 RANKED_SQL = """ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY post_id, parent_id ORDER BY score DESC, seq) AS INT) AS sibling_rank
@@ -76,3 +76,33 @@ def render_whole_threads(i: Inputs):
 def render_update(i: Inputs):
     sections = render.render_comments(i.comments, "MD").drop("part")
     return render.render_updates(sections, SIGHT_AS_OF).select("post_id", "update_block")
+
+
+AUTHOR_SQL = "to_json(author)::VARCHAR"
+BODY_SQL = "to_json(body)::VARCHAR"
+
+
+def plain_node(replies: str) -> str:
+    return f"""'{{"poster":' || {AUTHOR_SQL} || ',"score":' || CAST(score AS VARCHAR) || ',"body":' || {BODY_SQL}
+      || ',"replies":[' || {replies} || ']}}'"""
+
+
+def sorted_node(replies: str) -> str:
+    """The same with its fields in name order, as a nested value keeps them."""
+    return f"""'{{"body":' || {BODY_SQL} || ',"poster":' || {AUTHOR_SQL} || ',"replies":[' || {replies}
+      || '],"score":' || CAST(score AS VARCHAR) || '}}'"""
+
+
+def nested_sql(node) -> str:
+    inner = node("coalesce(r, '')")
+    return f"""replies2 AS (SELECT post_id, parent_id, string_agg({node("''")}, ',' ORDER BY path) AS r
+      FROM tree WHERE depth = 2 GROUP BY post_id, parent_id),
+    replies1 AS (SELECT t.post_id, t.parent_id, string_agg({inner}, ',' ORDER BY path) AS r
+      FROM tree t LEFT JOIN replies2 c ON t.comment_id = c.parent_id WHERE depth = 1 GROUP BY t.post_id, t.parent_id),
+    nested AS (SELECT t.post_id, '[' || string_agg({inner}, ',' ORDER BY path) || ']' AS comments_json
+      FROM tree t LEFT JOIN replies1 c ON t.comment_id = c.parent_id WHERE depth = 0 GROUP BY t.post_id)"""
+
+
+@query("comments_nested", f"WITH RECURSIVE {tree_sql(PRESETS['LG'])}, {nested_sql(plain_node)} SELECT post_id, comments_json FROM nested")
+def comments_nested(i: Inputs):
+    return nested_comments(trim_tree(i.comments, "LG"), len(PRESETS["LG"]))

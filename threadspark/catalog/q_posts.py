@@ -10,7 +10,8 @@ from threadspark.functions import text
 from threadspark.functions.times import minute_text, ntz
 from threadspark.operators import links, notes, render
 from threadspark.plans import rules
-from threadspark.sinks.files import folder, note_path
+from threadspark.session import fresh_path
+from threadspark.sinks.files import folder, note_path, write_text
 
 CLOCK = f"TIMESTAMP '{AS_OF}'"
 LABEL_SQL = """CASE WHEN post_flair IS NULL OR post_flair = '' THEN 'N/A'
@@ -199,16 +200,26 @@ def dashboard(i: Inputs):
     return render.dashboard(i.known_state, AS_OF)
 
 
-@query(
-    "dashboard_lines",
-    f"""SELECT post_id, '| ' || CASE WHEN rescrape_after IS NULL THEN '✅' WHEN {CLOCK} < rescrape_after THEN '⏳ *Maturing*'
+BOARD_LINE_SQL = f"""'| ' || CASE WHEN rescrape_after IS NULL THEN '✅' WHEN {CLOCK} < rescrape_after THEN '⏳ *Maturing*'
          ELSE '🔄 *Pending*' END || ' | ' || coalesce(label, '') || ' | '
        || CASE WHEN file_path IS NULL THEN title ELSE '[[' || subreddit || '_' || post_id || '.md|' || title || ']]' END
        || ' | ' || CAST(score AS VARCHAR) || ' | ' || sort_method || ' | ' || strftime(post_timestamp, '%Y-%m-%d %H:%M')
        || ' | ' || strftime(last_scrape_timestamp, '%Y-%m-%d %H:%M') || ' | '
        || CASE WHEN rescrape_after IS NULL THEN '-' WHEN {CLOCK} < rescrape_after
-         THEN strftime(rescrape_after, '%Y-%m-%d %H:%M') ELSE '**Ready Now**' END || ' |' AS line
-       FROM known_state""",
-)
+         THEN strftime(rescrape_after, '%Y-%m-%d %H:%M') ELSE '**Ready Now**' END || ' |'"""
+
+
+@query("dashboard_lines", f"SELECT post_id, {BOARD_LINE_SQL} AS line FROM known_state")
 def dashboard_lines(i: Inputs):
     return render.dashboard_lines(render.dashboard(i.known_state, AS_OF))
+
+
+@query(
+    "dashboard_text",
+    f"""SELECT {BOARD_LINE_SQL} AS line FROM known_state
+        UNION ALL SELECT unnest(['{"', '".join(render.DASHBOARD_HEAD)}'])""",
+)
+def dashboard_text(i: Inputs):
+    path = fresh_path(i.spark, "dashboard")
+    write_text(render.dashboard_text(render.dashboard(i.known_state, AS_OF)), path)
+    return i.spark.read.text(path).withColumnRenamed("value", "line")

@@ -12,7 +12,7 @@ from threadspark.functions.text import label
 from threadspark.operators import render
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.plans import routines as r
-from threadspark.plans.run import accepted_posts, revisit, run
+from threadspark.plans.run import accepted_posts, revisit, run, run_targets
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
 
@@ -258,6 +258,21 @@ def revisit_notes(i: Inputs):
     return revisited(i).notes.select("post_id", "path", "content")
 
 
+@query(
+    "targets_run",
+    rf"""WITH targets AS (SELECT DISTINCT regexp_extract(url_overridden_by_dest, 'comments/([^/]+)', 1) AS post_id FROM posts
+          WHERE contains(url_overridden_by_dest, 'reddit.com'))
+        SELECT p.post_id, CASE WHEN s.post_id IS NULL THEN 'initial' WHEN s.rescrape_after < {CLOCK} THEN 'rescrape' ELSE 'hit' END AS kind,
+          CASE WHEN s.post_id IS NOT NULL AND (s.rescrape_after IS NULL OR NOT s.rescrape_after < {CLOCK}) THEN 'hit'
+            WHEN p.score < 100 THEN 'rejected' ELSE 'accepted' END AS status
+        FROM posts p JOIN targets t ON p.post_id = t.post_id LEFT JOIN known_state s ON s.post_id = p.post_id""",
+)
+def targets_run(i: Inputs):
+    posts = i.posts
+    targets = posts.select(F.col("url_overridden_by_dest").alias("target")).filter("target LIKE '%reddit.com%'")
+    return run_targets(targets, posts, i.comments, i.known_state, REVISIT, AS_OF).seen.select("post_id", "kind", "status")
+
+
 DIGEST = r.make_routine({"name": "digest", "sort": "top", "max_results": 10, "allow_nsfw": True}, routine_id=1)
 
 

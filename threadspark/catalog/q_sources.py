@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadspark.catalog.inputs import AS_OF, POST_COLUMNS, SIGHT_AS_OF, Inputs
+from threadspark.catalog.q_comments import nested_sql, sorted_node, tree_sql
 from threadspark.catalog.q_posts import NOTES_WITH_SQL, all_notes
 from threadspark.catalog.q_state import written_notes
 from threadspark.catalog.registry import query
+from threadspark.operators.comments import PRESETS, nested_comments, trim_tree
 from threadspark.session import fresh_path
 from threadspark.sinks import files
 from threadspark.sources import feeds, state, threads
@@ -156,3 +158,16 @@ def sink_notes_roundtrip(i: Inputs):
     path = fresh_path(i.spark, "notes")
     files.write_notes(all_notes(i).join(where, "post_id"), path)
     return i.spark.read.parquet(path).select("folder", "post_id", "content")
+
+
+@query(
+    "sink_json_comments",
+    f"""WITH RECURSIVE {tree_sql(PRESETS['LG'])}, {nested_sql(sorted_node)}
+        SELECT p.post_id, p.title, coalesce(n.comments_json, '[]') AS comments FROM posts p LEFT JOIN nested n ON p.post_id = n.post_id""",
+)
+def sink_json_comments(i: Inputs):
+    nested = nested_comments(trim_tree(i.comments, "LG"), len(PRESETS["LG"]))
+    path = fresh_path(i.spark, "json")
+    files.write_json(files.with_comments(i.posts, nested), path)
+    back = i.spark.read.schema("post_id string, title string, comments string").json(path)
+    return back.select("post_id", "title", "comments")

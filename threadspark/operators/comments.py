@@ -119,3 +119,28 @@ def trim_tree(comments: DataFrame, detail: str = "MD") -> DataFrame:
     """
     limits = PRESETS.get(detail, PRESETS["MD"])
     return _full_tree(comments) if limits is None else _level_tree(comments, limits)
+
+
+def nested_comments(tree: DataFrame, levels: int) -> DataFrame:
+    """``post_id, comments_json``: a trimmed tree as nested JSON text, best first.
+
+    For trees of a bounded preset: each join gathers the few replies of one comment,
+    from the deepest level up. ``parse_json`` turns the text into a nested value.
+    """
+    # The fields of a comment in the output.
+    own = F.to_json(F.struct(F.col("author").alias("poster"), "score", "body"))
+    rows = tree.withColumn("_own", own).withColumn("_own", F.expr("substring(_own, 1, length(_own) - 1)"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "_text"))), lambda x: x["_text"]), ",")
+    below: DataFrame | None = None
+    for depth in reversed(range(levels)):
+        level = rows.filter(F.col("depth") == depth)
+        inner: Column = F.lit("")
+        if below is not None:
+            level = level.join(below, ["post_id", "comment_id"], "left")
+            inner = F.coalesce("_replies", F.lit(""))
+        level = level.withColumn("_text", F.concat("_own", F.lit(',"replies":['), inner, F.lit("]}")))
+        if depth == 0:
+            whole = level.groupBy("post_id").agg(joined.alias("_all"))
+            return whole.select("post_id", F.concat(F.lit("["), "_all", F.lit("]")).alias("comments_json"))
+        below = level.groupBy("post_id", F.col("parent_id").alias("comment_id")).agg(joined.alias("_replies"))
+    raise ValueError("levels must be at least 1")

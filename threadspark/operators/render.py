@@ -220,9 +220,29 @@ def dashboard(state: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+# The lines above the dashboard's rows.
+DASHBOARD_HEAD = (
+    "# 🕵️ Reddit Scrape Dashboard",
+    "",
+    "| Status | Label | Title | Score | Sort | Post Date | Last Scrape | Re-scrape After |",
+    "| :| :| :| :| :| :| :| :|",
+)
+
+
+def dashboard_text(board: DataFrame) -> DataFrame:
+    """All lines of the dashboard in order: the head, then one line per post, newest first."""
+    head = board.sparkSession.createDataFrame([(n, line) for n, line in enumerate(DASHBOARD_HEAD)], "_no int, line string")
+    nothing = F.lit(None)
+    head = head.select("_no", nothing.cast("timestamp_ntz").alias("_at"), F.lit("").alias("post_id"), "line")
+    body = board.select(F.lit(len(DASHBOARD_HEAD)).alias("_no"), F.col("last_scrape_timestamp").alias("_at"), "post_id", _line())
+    return head.unionByName(body).orderBy("_no", F.desc("_at"), "post_id").select("line")
+
+
+def _line() -> Column:
+    cells = ["status", "label", "title", "score", "sort", "post_date", "last_scrape", "rescrape_after"]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
+
+
 def dashboard_lines(board: DataFrame) -> DataFrame:
     """Dashboard rows as pipe-table lines, newest first."""
-    cells = ["status", "label", "title", "score", "sort", "post_date", "last_scrape", "rescrape_after"]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    ordered = board.orderBy(F.desc("last_scrape_timestamp"), "post_id")
-    return ordered.select("post_id", line.alias("line"))
+    return board.orderBy(F.desc("last_scrape_timestamp"), "post_id").select("post_id", _line())

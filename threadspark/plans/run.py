@@ -26,6 +26,7 @@ from threadspark.plans.routines import (
 )
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
+from threadspark.sources.feeds import direct_targets
 
 
 def judge(posts: DataFrame, state: DataFrame, routine: Routine, as_of: datetime) -> DataFrame:
@@ -78,9 +79,9 @@ class Run(NamedTuple):
     state: DataFrame
 
 
-def _only(rows: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
-    """Rows of the given posts; the ids are broadcast while their bound is small."""
-    ids = F.broadcast(ids) if bound <= BROADCAST_ROWS else ids
+def _only(rows: DataFrame, ids: DataFrame, bound: int | None) -> DataFrame:
+    """Rows of the given posts; the ids are broadcast if their bound is known and small."""
+    ids = F.broadcast(ids) if bound is not None and bound <= BROADCAST_ROWS else ids
     return rows.join(ids, "post_id", "left_semi")
 
 
@@ -89,11 +90,17 @@ def _note_path(rows: DataFrame, routines: Sequence[Routine]) -> Column:
 
 
 def render_run(
-    accepted: DataFrame, comments: DataFrame, state: DataFrame, routines: Sequence[Routine], as_of: datetime
+    accepted: DataFrame,
+    comments: DataFrame,
+    state: DataFrame,
+    routines: Sequence[Routine],
+    as_of: datetime,
+    bound: int | None = None,
 ) -> DataFrame:
     """``post_id, path, part, content`` of the accepted posts, each by its routine's settings.
 
-    Routines with the same rendering settings share one plan.
+    Routines with the same rendering settings share one plan. ``bound`` is the most
+    posts there can be, if that is known.
     """
     alike: dict[tuple, list[Routine]] = {}
     for routine in routines:
@@ -103,7 +110,7 @@ def render_run(
     notes = None
     for (detail, hours, ignored), group in alike.items():
         rows = accepted.filter(F.col("routine_id").isin([r.routine_id for r in group]))
-        threads = _only(comments, rows.select("post_id"), sum(r.horizon for r in group))
+        threads = _only(comments, rows.select("post_id"), bound)
         texts = render.render_posts(rows, as_of, state, threads, detail, hours, ignored)
         part = texts.join(rows.select("post_id", _note_path(rows, group).alias("path")), "post_id")
         notes = part if notes is None else notes.unionByName(part)
@@ -151,9 +158,27 @@ def run(
     """
     seen = cut_lineage(run_routines(posts, routines, as_of, state))
     accepted = cut_lineage(accepted_posts(posts, seen, routines))
-    notes = render_run(accepted, comments, state, routines, as_of)
+    notes = render_run(accepted, comments, state, routines, as_of, sum(r.max_results for r in routines))
+    return Run(seen, accepted, notes, _recorded(seen, accepted, state, routines, as_of))
+
+
+def _recorded(
+    seen: DataFrame, accepted: DataFrame, state: DataFrame, routines: Sequence[Routine], as_of: datetime
+) -> DataFrame:
+    """The tracking table after a run."""
     rows = state_rows(accepted, routines, as_of)
     after = tracking.upsert_first(tracking.conform(state), rows.filter(F.col("kind") == "initial").drop("kind"))
     after = tracking.update_later(after, rows.filter(F.col("kind") == "rescrape").drop("kind"))
     again = seen.filter(F.col("status") == "hit").select("post_id", ntz(as_of).alias("ts"))
-    return Run(seen, accepted, notes, tracking.touch_hits(after, again))
+    return tracking.touch_hits(after, again)
+
+
+def run_targets(
+    targets: DataFrame, posts: DataFrame, comments: DataFrame, state: DataFrame, settings: Routine, as_of: datetime
+) -> Run:
+    """Visit the posts named in ``targets(target)`` by id or URL, by the same rules and with no limit."""
+    judged = judge(direct_targets(targets, posts), state, settings, as_of)
+    seen = cut_lineage(judged.withColumn("pos", F.lit(0)))
+    accepted = seen.filter(F.col("status") == "accepted")
+    notes = render_run(accepted, comments, state, [settings], as_of)
+    return Run(seen, accepted, notes, _recorded(seen, accepted, state, [settings], as_of))

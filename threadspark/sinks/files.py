@@ -24,6 +24,13 @@ def note_path(posts: DataFrame, group_by: str | None) -> Column:
     return file_name if not group_by else F.concat(folder(posts, group_by), F.lit("/"), file_name)
 
 
+def with_comments(posts: DataFrame, nested: DataFrame) -> DataFrame:
+    """Posts with their kept comments as a nested value, an empty list without any."""
+    joined = posts.join(nested, "post_id", "left")
+    text = F.coalesce("comments_json", F.lit("[]"))
+    return joined.withColumn("comments", F.parse_json(text)).drop("comments_json")
+
+
 def write_json(posts: DataFrame, path: str) -> None:
     """One JSON object per line, many posts per file."""
     posts.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
