@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadspark.catalog.inputs import AS_OF, Inputs
-from threadspark.catalog.q_comments import LINE_SQL, tree_sql
+from threadspark.catalog.q_comments import LINE_SQL, nested_sql, plain_node, tree_sql
 from threadspark.catalog.q_posts import LABEL_SQL
 from threadspark.catalog.registry import query
 from threadspark.functions.text import label
 from threadspark.operators import render
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.plans import routines as r
-from threadspark.plans.run import accepted_posts, revisit, run, run_targets
+from threadspark.plans.run import accepted_posts, history_rows, revisit, run, run_targets
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
 
@@ -210,6 +210,44 @@ def run_state(i: Inputs):
     )
 
 
+@query(
+    "run_history",
+    f"""WITH {SEEN_SQL} SELECT post_id, CAST(routine_id AS BIGINT) * 1000000000 + pos AS seq, {CLOCK} AS ts, kind AS type,
+          CASE routine_id WHEN 1 THEN 'all-new' WHEN 2 THEN 'furniture' WHEN 3 THEN 'busy' WHEN 4 THEN 'liked' WHEN 5 THEN 'old'
+            ELSE 'nothing' END AS routine, CASE WHEN routine_id IN (1, 5) THEN 'new' WHEN routine_id = 3 THEN 'comments' ELSE 'top' END AS sort
+        FROM seen WHERE status <> 'rejected'""",
+)
+def run_history(i: Inputs):
+    rows = history_rows(seen(i), ROUTINES, AS_OF)
+    return rows.select(
+        "post_id", "seq", "ts", "type", F.col("query")["name"].alias("routine"), F.col("query")["sort"].alias("sort")
+    )
+
+
+KEEPERS = [
+    r.make_routine({"name": "kept", "sort": "top", "save_json": False, "max_results": 30, "allow_nsfw": True}, routine_id=1),
+    r.make_routine({"name": "lean", "sort": "comments", "max_results": 30, "allow_nsfw": True}, routine_id=2),
+]
+
+
+@query(
+    "run_details",
+    f"""WITH RECURSIVE {tree_sql(PRESETS['MD'])}, {nested_sql(plain_node)},
+        known AS (SELECT p.*, s.post_id IS NULL AS fresh, s.rescrape_after < {CLOCK} AS due
+          FROM posts p LEFT JOIN known_state s ON p.post_id = s.post_id WHERE p.post_id IN (SELECT post_id FROM comments)),
+        fed AS (SELECT *, row_number() OVER (ORDER BY score DESC, post_id) AS rn FROM known),
+        kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rn) AS taken FROM fed WHERE rn <= 75 AND (fresh OR due) AND score >= 50)
+          WHERE taken <= 30)
+        SELECT k.post_id, k.upvote_ratio, k.domain, k.over_18 AS is_nsfw, coalesce(n.comments_json, '-') AS comments_dump
+        FROM kept k LEFT JOIN nested n ON k.post_id = n.post_id""",
+)
+def run_details(i: Inputs):
+    captured = i.posts.join(i.comments.select("post_id").distinct(), "post_id", "left_semi")
+    after = run(captured, i.comments, i.known_state, KEEPERS, AS_OF).state
+    kept = after.filter(F.col("domain").isNotNull())
+    return kept.select("post_id", "upvote_ratio", "domain", "is_nsfw", F.coalesce("comments_dump", F.lit("-")).alias("comments_dump"))
+
+
 REVISIT = r.make_routine({"sort": "new", "ignore_below_score": 100, "rescrape_newer_than_hours": 12}, routine_id=1)
 REVISITED_SQL = f"""revisited AS (
   SELECT p.* FROM posts p JOIN known_state s ON p.post_id = s.post_id WHERE s.rescrape_after < {CLOCK} AND p.score >= 100)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from datetime import datetime
@@ -66,6 +67,16 @@ class Routine:
         """Feed positions a run may look at."""
         return self.offset + MAX_PAGES * self.page_size
 
+    def settings(self) -> dict[str, str]:
+        """The settings a run used, as texts for the history; unset ones are left out."""
+        out = {}
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if f.name in ("routine_id", "extra") or value is None or value == ():
+                continue
+            out[f.name] = value if isinstance(value, str) else json.dumps(value)
+        return out
+
     def terms(self) -> list[str]:
         return [*query.search_terms(self.search), *self.title_search, *self.selftext]
 

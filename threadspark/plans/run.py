@@ -13,6 +13,8 @@ from threadspark.functions.text import label
 from threadspark.functions.times import ntz
 from threadspark.operators import render
 from threadspark.operators import state as tracking
+from threadspark.operators.comments import PRESETS, nested_comments, trim_tree
+from threadspark.operators.history import query_map
 from threadspark.operators.notes import patch_notes
 from threadspark.plans import rules
 from threadspark.plans.routines import (
@@ -71,12 +73,14 @@ def revisit(
 
 class Run(NamedTuple):
     """``seen``: every feed row looked at; ``accepted``: each accepted post once, with
-    its routine; ``notes``: rendered notes; ``state``: the tracking table afterwards."""
+    its routine; ``notes``: rendered notes; ``state``: the tracking table afterwards;
+    ``history``: the entries to append to the history."""
 
     seen: DataFrame
     accepted: DataFrame
     notes: DataFrame
     state: DataFrame
+    history: DataFrame
 
 
 def _only(rows: DataFrame, ids: DataFrame, bound: int | None) -> DataFrame:
@@ -117,8 +121,47 @@ def render_run(
     return notes
 
 
-def state_rows(accepted: DataFrame, routines: Sequence[Routine], as_of: datetime) -> DataFrame:
+def history_rows(seen: DataFrame, routines: Sequence[Routine], as_of: datetime) -> DataFrame:
+    """``post_id, ts, seq, type, query``: the history entries a run adds; rejected posts leave none."""
+    def settings(routine: Routine) -> Column:
+        pairs = [F.lit(text) for pair in routine.settings().items() for text in pair]
+        return query_map(F.create_map(*pairs))
+
+    kept = seen.filter(F.col("status") != "rejected")
+    return kept.select(
+        "post_id",
+        ntz(as_of).alias("ts"),
+        (F.col("routine_id").cast("long") * 1_000_000_000 + F.col("pos")).alias("seq"),
+        F.col("kind").alias("type"),
+        by_routine(routines, settings).alias("query"),
+    )
+
+
+def _keeps_detail(routine: Routine) -> bool:
+    return routine.detailed_db or not routine.save_json
+
+
+def comment_dumps(
+    accepted: DataFrame, comments: DataFrame, routines: Sequence[Routine], bound: int | None = None
+) -> DataFrame | None:
+    """``post_id, comments_dump`` for routines that keep details and a bounded preset."""
+    dumps = None
+    for detail, limits in PRESETS.items():
+        group = [r.routine_id for r in routines if _keeps_detail(r) and (r.detail if r.detail in PRESETS else "MD") == detail]
+        if not group or limits is None:
+            continue
+        ids = accepted.filter(F.col("routine_id").isin(group)).select("post_id")
+        part = nested_comments(trim_tree(_only(comments, ids, bound), detail), len(limits))
+        dumps = part if dumps is None else dumps.unionByName(part)
+    return None if dumps is None else dumps.withColumnRenamed("comments_json", "comments_dump")
+
+
+def state_rows(
+    accepted: DataFrame, routines: Sequence[Routine], as_of: datetime, dumps: DataFrame | None = None
+) -> DataFrame:
     """State columns of the accepted posts, plus the ``kind`` of the visit."""
+    if dumps is not None:
+        accepted = accepted.join(dumps, "post_id", "left")
     written = accepted.withColumns(
         {
             "label": label(F.col("post_flair")),
@@ -136,7 +179,7 @@ def state_rows(accepted: DataFrame, routines: Sequence[Routine], as_of: datetime
             "ignored_reason": F.lit(None),
         }
     )
-    keep = F.col("routine_id").isin([r.routine_id for r in routines if r.detailed_db or not r.save_json])
+    keep = F.col("routine_id").isin([r.routine_id for r in routines if _keeps_detail(r)])
     return tracking.conform(tracking.detailed(written, keep), ["kind"])
 
 
@@ -159,14 +202,22 @@ def run(
     seen = cut_lineage(run_routines(posts, routines, as_of, state))
     accepted = cut_lineage(accepted_posts(posts, seen, routines))
     notes = render_run(accepted, comments, state, routines, as_of, sum(r.max_results for r in routines))
-    return Run(seen, accepted, notes, _recorded(seen, accepted, state, routines, as_of))
+    bound = sum(r.max_results for r in routines)
+    after = _recorded(seen, accepted, comments, state, routines, as_of, bound)
+    return Run(seen, accepted, notes, after, history_rows(seen, routines, as_of))
 
 
 def _recorded(
-    seen: DataFrame, accepted: DataFrame, state: DataFrame, routines: Sequence[Routine], as_of: datetime
+    seen: DataFrame,
+    accepted: DataFrame,
+    comments: DataFrame,
+    state: DataFrame,
+    routines: Sequence[Routine],
+    as_of: datetime,
+    bound: int | None = None,
 ) -> DataFrame:
     """The tracking table after a run."""
-    rows = state_rows(accepted, routines, as_of)
+    rows = state_rows(accepted, routines, as_of, comment_dumps(accepted, comments, routines, bound))
     after = tracking.upsert_first(tracking.conform(state), rows.filter(F.col("kind") == "initial").drop("kind"))
     after = tracking.update_later(after, rows.filter(F.col("kind") == "rescrape").drop("kind"))
     again = seen.filter(F.col("status") == "hit").select("post_id", ntz(as_of).alias("ts"))
@@ -181,4 +232,5 @@ def run_targets(
     seen = cut_lineage(judged.withColumn("pos", F.lit(0)))
     accepted = seen.filter(F.col("status") == "accepted")
     notes = render_run(accepted, comments, state, [settings], as_of)
-    return Run(seen, accepted, notes, _recorded(seen, accepted, state, [settings], as_of))
+    after = _recorded(seen, accepted, comments, state, [settings], as_of)
+    return Run(seen, accepted, notes, after, history_rows(seen, [settings], as_of))

@@ -36,7 +36,7 @@ class Snapshots:
 
     def start(self) -> "Snapshots":
         """Create the empty version list if this is a new table."""
-        self.spark.createDataFrame([], "version long").write.mode("append").parquet(f"{self.root}/versions")
+        self._list(0, 0)
         return self
 
     def read(self, before: int | None = None) -> DataFrame:
@@ -47,8 +47,11 @@ class Snapshots:
 
     def commit(self, rows: DataFrame, version: int) -> None:
         rows.write.mode("overwrite").parquet(self._folder(version))
-        listed = self.spark.createDataFrame([(version,)], "version long")
-        listed.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        self._list(version, version + 1)
+
+    def _list(self, start: int, end: int) -> None:
+        listed = self.spark.range(start, end, numPartitions=1).toDF("version")
+        listed.write.mode("append").parquet(f"{self.root}/versions")
 
 
 def upgrade(rows: DataFrame) -> DataFrame:
