@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadspark.session import cut_lineage
 
 GROUP_LIMIT = 1000
-SALTS = 64
+SALTS = 1024
 HOT_ROWS = 1_000_000
 BROADCAST_KEYS = 100_000
 

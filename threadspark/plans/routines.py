@@ -186,10 +186,11 @@ def match_routines(posts: DataFrame, routines: Sequence[Routine], as_of: datetim
 
 def by_routine(routines: Sequence[Routine], value: Callable[[Routine], Column]) -> Column:
     """A setting, or an expression made from it, chosen by each row's ``routine_id``."""
-    chosen = F.lit(None)
+    chosen: Column | None = None
     for routine in routines:
-        chosen = F.when(F.col("routine_id") == routine.routine_id, value(routine)).otherwise(chosen)
-    return chosen
+        mine = F.col("routine_id") == routine.routine_id
+        chosen = F.when(mine, value(routine)) if chosen is None else chosen.when(mine, value(routine))
+    return F.lit(None) if chosen is None else chosen
 
 
 def feed_window(matched: DataFrame, routines: Sequence[Routine]) -> DataFrame:
