@@ -5,11 +5,12 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_local import normal
+from threadspark.catalog import registry
 from threadspark.catalog.inputs import BASE
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+ORACLES = registry.all_oracles()
+QUERIES = registry.all_queries()
 
 
 @pytest.fixture(scope="module")
