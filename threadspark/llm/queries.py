@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadspark.llm import chat, decontaminate, exact, ngrams, secrets, sentences, toxicity, urls
+from threadspark.llm import chat, decontaminate, exact, ngrams, passages, secrets, sentences, tokens, toxicity, urls
 from threadspark.llm.common import table
 
+RANKS, END_OF_TEXT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = tokens.flat_blocks(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, END_OF_TEXT)
+    return tokens.count_tokens(blocks, END_OF_TEXT).select("doc_id", "file", "doc_no", "start", "n_tokens")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -43,6 +49,10 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
@@ -53,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_ngram_jaccard, op3_exact_dedup, op4_secret_scan, op5_sentence_pieces, op6_url_filter, op7_chat_windows, op9_decontamination, op10_toxicity,
+        op1_token_counts, op2_ngram_jaccard, op3_exact_dedup, op4_secret_scan, op5_sentence_pieces, op6_url_filter, op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_toxicity,
     )
 }
 
