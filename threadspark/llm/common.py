@@ -23,7 +23,7 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and continue from the written copy."""
     path = fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # an empty table may leave no file
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,6 +8,8 @@ an end after it is discarded (positional and length bound), and the words themse
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -61,7 +63,6 @@ def find_hits(
     others but not listed among item_ids. Rows of ``docs`` that repeat an id are told apart by ``mark``, a digest of the
     text, and rows that repeat both have the same result each; other columns are ignored.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), words_of(text).alias("words"))
     owned = windows_of(items, item_id_col, item_text_col, window)
@@ -71,11 +72,8 @@ def find_hits(
     )
     n = numbered.count()
     blocks = max(1, -(-n // block_windows))
-    shape = "doc_id long, mark long, at int, len int, words array<string>"
-    hits = spark.createDataFrame([], shape)
-    for block in range(blocks):
-        part = numbered.filter(F.pmod("win", F.lit(blocks)) == block) if blocks > 1 else numbered
-        hits = hits.unionByName(_hits_of(rows, part.select("words")))
+    parts = [numbered.filter(F.pmod("win", F.lit(blocks)) == block) if blocks > 1 else numbered for block in range(blocks)]
+    hits = reduce(DataFrame.unionByName, [_hits_of(rows, part.select("words")) for part in parts])
     # what a document has: its hit words, and its windows
     hits = stored(hits, "hits")
     key = ["doc_id", "mark"]
@@ -111,13 +109,12 @@ def _hits_of(rows: DataFrame, windows: DataFrame) -> DataFrame:
     listed = stored(spots.select("words", "size", "at", _shingle(F.col("words"), F.col("at"), F.col("size")).alias("token")), "spots")
     sizes = [r["size"] for r in listed.select("size").distinct().collect()]  # at most SHINGLE_WORDS numbers
     known = F.broadcast(listed.select("token").distinct())
-    hits = rows.sparkSession.createDataFrame([], "doc_id long, mark long, at int, len int, words array<string>")
     if not sizes:
-        return hits
-    counts = None
-    for k in sizes:
-        part = _document_shingles(rows, k).select("token").join(known, "token", "left_semi").groupBy("token").count()
-        counts = part if counts is None else counts.unionByName(part)
+        nothing = rows.filter(F.lit(False))
+        return nothing.select("doc_id", "mark", F.lit(0).alias("at"), F.lit(0).alias("len"), "words")
+    counts = reduce(DataFrame.union, [
+        _document_shingles(rows, k).select("token").join(known, "token", "left_semi").groupBy("token").count() for k in sizes
+    ])
     counts = counts.withColumnRenamed("count", "n")
     ranked = listed.join(F.broadcast(counts), "token", "left")
     # a window with a shingle that no document has is in no document
@@ -125,14 +122,15 @@ def _hits_of(rows: DataFrame, windows: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "token", "size")).alias("first")
     ).filter("first.n > 0")
     prefix = stored(prefix.select(F.col("words").alias("window"), F.col("first.token").alias("token"), F.col("first.at").alias("offset"), "first.size"), "prefix")
+    found = []
     for k in sizes:
         part = F.broadcast(prefix.filter(F.col("size") == k).select("token", "window", "offset"))
         start, length = F.col("at") - F.col("offset"), F.size("window")
         bounds = (start >= 0) & (start + length <= F.size("words"))
         same = F.slice("words", F.when(start >= 0, start + 1).otherwise(F.lit(1)), length) == F.col("window")
-        found = _document_shingles(rows, k).join(part, "token").filter(bounds & same)
-        hits = hits.unionByName(found.select("doc_id", "mark", start.alias("at"), length.alias("len"), F.col("window").alias("words")))
-    return hits
+        met = _document_shingles(rows, k).join(part, "token").filter(bounds & same)
+        found.append(met.select("doc_id", "mark", start.alias("at"), length.alias("len"), F.col("window").alias("words")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:

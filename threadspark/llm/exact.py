@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.llm.common import ascii_lowered, batches, rows_of, stored
+from threadspark.llm.common import ascii_lower, ascii_lowered, batches, rows_of, stored
 
 #: Bytes of edge labels that a task's trie may hold before it hands on its largest subtree.
 TRIE_BYTES = 64 << 20
@@ -206,16 +206,13 @@ def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
     Rows are found again by id and text digest; of rows that repeat both one stays.
     """
-    out = exact_dedup(docs, keep=keep)
-    digest = F.sha2(ascii_lower(F.col("text")), 256)
-    gone = out.filter("not kept").select("doc_id", "text_sha256").distinct()
-    again = out.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    again = again.filter("kept and n > 1").select("doc_id", "text_sha256")
-    gone = gone.join(again, (gone.doc_id.eqNullSafe(again.doc_id)) & (gone.text_sha256 == again.text_sha256), "left_anti")
+    found = exact_dedup(docs, keep=keep).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    found = stored(found.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")), "verdicts")
 
     def among(ids: DataFrame, how: str) -> DataFrame:
-        return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id) & (digest == ids.text_sha256), how)
+        digest = F.sha2(ascii_lower(F.col("text")), 256)
+        return docs.join(ids.select("_id", "_sha"), docs.doc_id.eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), how)
 
-    once = among(gone.union(again), "left_anti")
-    repeated = among(again, "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return once.unionByName(repeated)
+    once = among(found.filter("not _kept or _n > 1"), "left_anti")
+    repeated = among(found.filter("_kept and _n > 1"), "left_semi").withColumn("_low", ascii_lower(F.col("text")))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "_low"]).drop("_low"))
