@@ -71,6 +71,6 @@ def batches(rows: Iterable[tuple], ddl: str, size: int = ROWS_PER_BATCH, most_by
 def rows_of(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple[Any, ...]]:
     """The rows of Arrow batches as tuples, a slice at a time."""
     for batch in incoming:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)

@@ -27,6 +27,8 @@ from threadspark.llm.graphs import components
 
 #: Largest over smallest size of a band.
 BAND = 1.4
+#: Ids that are broadcast (16 bytes each) to pick texts; for more of them the texts are shuffled.
+BROADCAST_IDS = 4_000_000
 #: Members of a block in the comparison within a hub's group.
 BLOCK = 512
 
@@ -120,18 +122,33 @@ class Bands:
         return np.concatenate(out)
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Counts of a set's elements in buckets, half as many to as many as elements; the counts stop at 255."""
+    buckets = 1 << max(6, len(features).bit_length() - 1)
+    counts = np.bincount((features & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of counts over the fewest buckets that any of them has."""
+    buckets = min(map(len, sketches))
+    rows = [np.frombuffer(s, np.uint8).reshape(-1, buckets).sum(axis=0, dtype=np.int32) for s in sketches]
+    return np.minimum(np.array(rows), 255)
+
+
 def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set, of every row."""
-    out = "doc_id long, n_shingles long, high long, low long"
+    """doc_id, n_shingles, a 128-bit digest and the sketch of the set, of every row."""
+    out = "doc_id long, n_shingles long, high long, low long, sketch binary"
 
     def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc_id, text in rows_of(incoming):
-                yield doc_id, *_digest(shingles(text, n))
+                features = shingles(text, n)
+                yield doc_id, *_digest(features), sketch(features)
 
         yield from batches(rows(), out)
 
@@ -190,13 +207,82 @@ def _compared(edges: DataFrame, features: DataFrame) -> DataFrame:
     return edges.join(a, "rep").join(b, "hub")
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of a hub dealt to all pairs of the hub's blocks: key columns hub, i, j, and the side within the pair."""
+    counts = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    counts = counts.filter("n > 1 and low < high").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mine = members.join(counts, "hub").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["hub", "i", "j"]
+    return each.withColumns({
+        "i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int"),
+    }).drop("mine", "other", "blocks").repartition(*key).sortWithinPartitions(*key)
+
+
+def _pairs_of(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """Left and right members of each pair of blocks, the same list for a block with itself."""
+    for _, rows in groupby(rows_of(incoming), key=lambda r: r[:3]):
+        group = [r[3:] for r in rows]
+        left, right = [m for m in group if m[0] == 0], [m for m in group if m[0] == 1]
+        yield left, right or left
+
+
+def _near_pairs(left: list[tuple], right: list[tuple], percent: int, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left member the right members of another label that its sketch doesn't rule out, and all bounds.
+
+    Bucket counts of two sets differ by no more than the sets do. Members are (side, rep, label, size, ...).
+    """
+    rows = folded(sketches)
+    a, b = rows[: len(left)], rows[len(left) :]
+    labels, sizes = np.array([m[2] for m in right]), np.array([m[3] for m in right])
+    for k, m in enumerate(left):
+        most = (m[3] + sizes) * (100 - percent) // (100 + percent)
+        near = labels != m[2]
+        if right is left:
+            near[: k + 1] = False
+        spots = np.flatnonzero(near)
+        spots = spots[np.abs(b[spots] - a[k]).sum(axis=1) <= most[spots]]
+        if len(spots):
+            yield k, spots, most
+
+
+def _partners(members: DataFrame, percent: int, which: str) -> DataFrame:
+    """(a, b, label) of members (hub, rep, label, size, sketch) that may be linked to one of another label under their hub.
+
+    ``which``: "member" gives each such member once as (hub, rep, its label), "first" each with the smallest of its possible partners,
+    "all" each pair.
+    """
+    out = "a long, b long, label long"
+
+    def pairs(left: list[tuple], right: list[tuple]) -> Iterator[tuple]:
+        for k, spots, _ in _near_pairs(left, right, percent, [m[4] for m in left] + [m[4] for m in right]):
+            yield from ((left[k], right[j]) for j in spots)
+
+    def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for left, right in _pairs_of(incoming):
+                first: dict[int, tuple] = {}
+                for x, y in pairs(left, right):
+                    if which == "all":
+                        yield min(x[1], y[1]), max(x[1], y[1]), x[2]
+                        continue
+                    for one, other in ((x, y), (y, x)):
+                        to = one[5] if which == "member" else other[1]
+                        if one[1] not in first or to < first[one[1]][0]:
+                            first[one[1]] = to, one[1], one[2]
+                yield from first.values()
+
+        yield from batches(rows(), out)
+
+    dealt = _in_blocks(members).select("hub", "i", "j", "side", "rep", "label", "size", "sketch", F.col("hub").alias("again"))
+    return dealt.mapInArrow(run, out)
+
+
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
-    """A forest of the links between members (hub, i, j, side, rep, label, size, delta) of different labels, block by block."""
+    """A forest of the links between members (hub, rep, label, size, delta) of different labels."""
     out = "a long, b long"
 
-    def links(group: list[tuple]) -> Iterator[tuple]:
-        left = [m for m in group if m[3] == 0]
-        right = [m for m in group if m[3] == 1] or left
+    def links(left: list[tuple], right: list[tuple]) -> Iterator[tuple]:
         top: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -204,76 +290,95 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
                 top[x] = x = top[top[x]]
             return x
 
-        def sketch(some: list[tuple]) -> np.ndarray:
-            return np.array([np.bincount(np.asarray(m[7], np.int64) & 63, minlength=64) for m in some], np.int32).reshape(-1, 64)
-
-        deltas = {id(m): frozenset(m[7]) for m in group}
-        labels, sizes, low = (np.array([m[5] for m in right]), np.array([m[6] for m in right]), sketch(right))
-        for k, (m, v) in enumerate(zip(left, sketch(left), strict=True)):
-            most = (m[6] + sizes) * (100 - percent) // (100 + percent)
-            # the counts of 64 buckets differ by no more than the sets do
-            near = (labels != m[5]) & (np.abs(low - v).sum(axis=1) <= most)
-            if right is left:
-                near[: k + 1] = False
-            for j in np.flatnonzero(near):
+        both = left + right
+        deltas = {m[1]: frozenset(m[4]) for m in both}
+        sketches = [np.minimum(np.bincount(np.asarray(m[4], np.int64) & 63, minlength=64), 255).astype(np.uint8).tobytes() for m in both]
+        for k, spots, most in _near_pairs(left, right, percent, sketches):
+            m = left[k]
+            for j in spots:
                 other = right[j]
-                a, b = root(m[5]), root(other[5])
-                if a != b and len(deltas[id(m)] ^ deltas[id(other)]) <= most[j]:
+                a, b = root(m[2]), root(other[2])
+                if a != b and len(deltas[m[1]] ^ deltas[other[1]]) <= most[j]:
                     top[a] = b
-                    yield m[4], other[4]
+                    yield m[1], other[1]
+
+    def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((x for left, right in _pairs_of(incoming) for x in links(left, right)), out)
+
+    return _in_blocks(members).select("hub", "i", "j", "side", "rep", "label", "size", "delta").mapInArrow(run, out)
+
+
+def _apart(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (rep, hub) with the sizes of both and a lower bound of the number of elements in which they differ."""
+    out = "rep long, hub long, size long, hub_size long, least long"
 
     def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for _, group in groupby(rows_of(incoming), key=lambda r: r[:3]):
-                yield from links(list(group))
+            for rep, hub, na, nb, a, b in rows_of(incoming):
+                x, y = folded([a, b])
+                yield rep, hub, na, nb, int(np.abs(x - y).sum())
 
         yield from batches(rows(), out)
 
-    key = ["hub", "i", "j"]
-    return members.select(*key, "side", "rep", "label", "size", "delta").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, out)
+    a = sets.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("na"), F.col("sketch").alias("a"))
+    b = sets.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("b"))
+    return edges.join(a, "rep").join(b, "hub").select("rep", "hub", "na", "nb", "a", "b").mapInArrow(run, out)
 
 
-def _similar(na: str, nb: str, common: str, percent: int):
-    return 100 * F.col(common) >= percent * (F.col(na) + F.col(nb) - F.col(common))
+def _compared(edges: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Edges (rep, hub, ...) with the shingles of both, read again from the texts that they need."""
+    ids = stored(edges.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct(), "wanted")
+    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
+    features = stored(_features(some, n), "features")
+    a = features.select(F.col("node").alias("rep"), F.col("features").alias("fa"))
+    b = features.select(F.col("node").alias("hub"), F.col("features").alias("fb"))
+    return edges.join(a, "rep").join(b, "hub")
 
 
-def find_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links between different sets; ``docs`` has doc_id and text."""
+def find_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links between different sets; ``docs`` has doc_id and text.
+
+    1. Every member of a group meets the group's hub.
+    2. Members that may still be linked to one of another component, by their sketches, stay; the others are done.
+    3. Members not far from their hub are compared through their differences to it.
+    4. Far ones, which are alike apart from the hub, meet the smallest of their possible partners, and then the partners that this leaves
+       in other components. Of two linked members both count as near or both as far: the bounds overlap by what a link allows.
+    """
+    p = percent
     groups = _groups(docs, n, percent)
     weights = groups.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighted = groups.join(weights, "rep")
-    hubs = weighted.groupBy("gid").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best")).select(
-        "gid", (-F.col("best.minus")).alias("hub")
-    )
-    stars = stored(groups.join(hubs, "gid").select("gid", "size", "rep", "hub"), "stars")
-    edges = stars.filter("rep <> hub").select("rep", "hub").distinct()
-    wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
-    features = stored(_features(docs.join(wanted, "doc_id", "left_semi"), n), "features")
-    judged = _compared(edges, features).select(
-        F.col("rep").alias("a"), F.col("hub").alias("b"), F.size("fa").alias("na"), F.size("fb").alias("nb"),
-        F.size(F.array_intersect("fa", "fb")).alias("common"),
-    )
-    links = stored(judged.filter(_similar("na", "nb", "common", percent)).select("a", "b"), "links")
-    # groups of three or more that lie in several components after this
-    labels = components(links)
-    labelled = stars.filter("size > 2").join(labels, stars.rep == labels.node, "left").select(
-        "gid", "rep", "hub", F.coalesce("root", "rep").alias("label")
-    )
-    open_groups = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gid")
-    rest = stored(labelled.join(open_groups, "gid", "left_semi").select("hub", "rep", "label").filter("rep <> hub").distinct(), "rest")
-    # all members of a hub are compared through what sets them apart from it
-    counts = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    counts = counts.filter("n > 1 and low < high").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    apart = _compared(rest, features).select(
-        "hub", "rep", "label", F.size("fa").alias("size"), F.concat(F.array_except("fa", "fb"), F.array_except("fb", "fa")).alias("delta")
-    ).join(counts, "hub")
-    mine = apart.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = each.select(
-        "hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "label", "size", "delta",
+    hubs = groups.select("gid", "rep").join(weights, "rep").groupBy("gid").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
+    stars = groups.select("gid", "rep").join(hubs.select("gid", (-F.col("best.minus")).alias("hub")), "gid").filter("rep <> hub")
+    stars = stored(_apart(stars.select("rep", "hub").distinct(), sets), "stars")
+    mine = sets.select(F.col("doc_id").alias("rep"), "sketch")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        near = F.col("least") * (100 + p) <= (F.col("size") + F.col("hub_size")) * (100 - p)
+        judged = _compared(edges.filter(near).select("rep", "hub"), docs, n).withColumn("common", F.size(F.array_intersect("fa", "fb")))
+        good = 100 * F.col("common") >= p * (F.size("fa") + F.size("fb") - F.col("common"))
+        return judged.filter(good).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+
+    def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+        labels = components(links)
+        found = members.join(labels, members.rep == labels.node, "left").withColumn("label", F.coalesce("root", "rep"))
+        return found.select("hub", "rep", "label", "size").join(mine, "rep")
+
+    links = stored(verified(stars), "links")
+    rest = _partners(labelled(stars, links), p, "member").select(F.col("a").alias("hub"), F.col("b").alias("rep"), "label")
+    rest = stored(rest.distinct().join(stars.select("hub", "rep", "size", "least"), ["hub", "rep"]), "rest")
+    close = F.col("least") * (p * p) <= 300 * (100 - p) * F.col("size")
+    deltas = stored(_compared(rest.filter(close), docs, n).select(
+        "hub", "rep", "label", "size", F.concat(F.array_except("fa", "fb"), F.array_except("fb", "fa")).alias("delta")
+    ), "deltas")
+    links = stored(links.union(_block_links(deltas, p)), "links")
+    far = rest.filter(~close).select("hub", "rep", "size").union(
+        deltas.filter(F.size("delta") * p > 2 * (100 - p) * F.col("size")).select("hub", "rep", "size")
     )
-    return links.union(_block_links(members, percent))
+    far = stored(far.distinct(), "far")
+    for which in ("first", "all"):
+        pairs = _partners(labelled(far, links), p, which).select(F.col("b").alias("rep"), F.col("a").alias("hub")).distinct()
+        links = stored(links.union(verified(stored(_apart(pairs, sets), "pairs"))), "links")
+    return links
 
 
 def ngram_components(
@@ -288,8 +393,9 @@ def ngram_components(
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stored(_sets(picked, n), "sets")
-    roots = stored(components(find_links(picked, n, percent)), "roots")
-    full = sets.filter("n_shingles > 0 and doc_id is not null")
+    known = sets.filter("n_shingles > 0 and doc_id is not null")
+    roots = stored(components(find_links(picked, known, n, percent)), "roots")
+    full = known.select("doc_id", "n_shingles", "high", "low")
     # the set of a row is that of the smallest id which has it
     owners = full.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     owners = owners.join(roots, owners.rep == roots.node, "left").select("high", "low", F.coalesce("root", "rep").alias("component_id"))

@@ -8,7 +8,6 @@ over the whole corpus would need every occurrence in a shuffle, several times th
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +19,7 @@ from threadspark.llm.common import batches, rows_of
 
 MARK = "▁"
 #: Distinct chunks a task keeps; beyond it the table starts anew, which costs time and changes no result.
-TABLE_SIZE = 300_000
+TABLE_SIZE = 100_000
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _processors: dict[str, object] = {}
@@ -96,10 +95,7 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-    def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        yield from batches(((i, len(ids), sha(",".join(map(str, ids))), sha(text)) for i, ids, text in rows_of(incoming)), out)
-
-    return decode_ids(encode_texts(docs, model), model).mapInArrow(run, out)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_ids(encode_texts(docs, model), model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
