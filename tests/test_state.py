@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -108,13 +109,46 @@ def test_rebuild_fills_in_what_a_note_lacks(spark):
     assert (got["y"]["title"], got["y"]["score"], got["y"]["post_timestamp"]) == ("Real", 0, at(5))
 
 
-def test_snapshots_survive_repeated_batches(spark, tmp_path):
+def test_snapshots_know_their_batches(spark, tmp_path):
     store = Snapshots(spark, str(tmp_path / "s")).start()
-    assert store.read().count() == 0
-    store.commit(table(spark, {"post_id": "a", "title": "1"}), 1)
-    for _ in range(2):
-        store.commit(store.read(before=2).withColumn("title", F.concat("title", F.lit("+"))), 2)
-    assert [r["title"] for r in store.read().collect()] == ["1+"]
+    assert store.read().count() == 0 and store.latest() is None
+    store.commit(table(spark, {"post_id": "a", "title": "1"}))
+    store.commit(store.read().withColumn("title", F.concat("title", F.lit("+"))), "q", 0)
+    assert store.has("q", 0) and not store.has("q", 1) and not store.has("r", 0)
+    assert [r["title"] for r in store.read().collect()] == ["1+"] and store.latest() == 2
+
+
+def test_a_folder_without_its_listing_is_no_version(spark, tmp_path, monkeypatch):
+    store = Snapshots(spark, str(tmp_path / "s")).start()
+    store.commit(table(spark, {"post_id": "a", "title": "1"}))
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_list", lambda entries: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.commit(table(spark, {"post_id": "b", "title": "2"}), "q", 0)
+    assert not store.has("q", 0) and [r["post_id"] for r in store.read().collect()] == ["a"]
+    store.commit(table(spark, {"post_id": "b", "title": "2"}), "q", 0)
+    assert [r["post_id"] for r in store.read().collect()] == ["b"]
+
+
+def test_stream_upsert_keeps_what_the_table_had(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    store = Snapshots(spark, str(tmp_path / "state")).start()
+    store.commit(table(spark, {"post_id": "old", "title": "o"}))
+    work = streams.upsert_into(store, lambda batch: state.conform(batch.select("post_id", F.lit("new").alias("title"))))
+
+    def run(checkpoint):
+        stream = streams.read_sights(spark, landed, "seq long, post_id string, ts timestamp_ntz, post_date timestamp_ntz")
+        streams.each_batch(stream, work, str(tmp_path / checkpoint), 4)
+        return {r["post_id"] for r in store.read().collect()}
+
+    sights(spark, ("a", 0, 0)).write.mode("append").parquet(landed)
+    assert run("one") == {"old", "a"}
+    sights(spark, ("b", 1, 0)).write.mode("append").parquet(landed)
+    assert run("one") == {"old", "a", "b"}
+    assert run("fresh") == {"old", "a", "b"}  # batch ids start anew, nothing is lost
+    versions = store.latest()
+    batch = store._versions().filter("stream is not null").first()
+    assert store.has(batch["stream"], batch["batch"]) and versions == 4
 
 
 def test_older_tables_get_todays_columns(spark):

@@ -49,7 +49,7 @@ def test_iso_times_become_utc(spark):
 
 def test_templates_drop_unknown_and_missing_values(spark):
     values = {"a": F.col("a"), "b": F.col("b")}
-    assert one(spark, template.render("<${a}|${b}|${c}> $5 $${a}", values), a="1", b=None) == "<1||> $5 $1"
+    assert one(spark, template.render("<${a}|${b}|${c}> $5 $$${a} $a$$5 $$a", values), a="1", b=None) == "<1||> $5 $1 1$5 $a"
     assert one(spark, template.render("", values), a="1", b=None) == ""
 
 

@@ -37,14 +37,16 @@ def src_feed_offset(i: Inputs):
     return feeds.read_feeds(i.feeds(), offset=3, cap=10)
 
 
+COMMUNITIES = ("FURNITURE", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "MACHINERY")
+
+
 @query(
     "feed_union",
-    """SELECT post_id, 0 AS feed_no FROM posts WHERE subreddit = 'FURNITURE'
-       UNION ALL SELECT post_id, 1 FROM posts WHERE subreddit = 'BUILDING'""",
+    " UNION ALL ".join(f"SELECT post_id, {k} AS feed_no FROM posts WHERE subreddit = '{name}'" for k, name in enumerate(COMMUNITIES)),
 )
 def feed_union(i: Inputs):
     posts = i.posts.select("post_id", "subreddit")
-    pages = [posts.filter(F.col("subreddit") == name) for name in ("FURNITURE", "BUILDING")]
+    pages = [posts.filter(F.col("subreddit") == name) for name in COMMUNITIES]
     return feeds.union_feeds(*pages).select("post_id", "feed_no")
 
 

@@ -100,8 +100,8 @@ def scraped(i: Inputs):
 )
 def state_upsert(i: Inputs):
     table = Snapshots(i.spark, fresh_path(i.spark, "state")).start()
-    table.commit(state.conform(i.known_state), 1)
-    table.commit(state.upsert_first(table.read(), scraped(i)), 2)
+    table.commit(state.conform(i.known_state))
+    table.commit(state.upsert_first(table.read(), scraped(i)))
     return table.read().select(
         "post_id", "title", "score", "sort_method", "first_scrape_timestamp", "last_scrape_timestamp",
         F.coalesce("file_path", F.lit("-")).alias("file_path"), F.coalesce("domain", F.lit("-")).alias("domain"),
@@ -138,7 +138,7 @@ def state_touch_hits(i: Inputs):
 
 @query(
     "state_detailed",
-    """SELECT post_id, over_18 AS is_nsfw, substr(selftext, 1, 200) AS selftext_snippet, domain, num_comments,
+    """SELECT post_id, over_18 AS is_nsfw, selftext AS selftext_snippet, domain, num_comments,
        coalesce(post_flair, '-') AS post_flair FROM posts""",
 )
 def state_detailed(i: Inputs):

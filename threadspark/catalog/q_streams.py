@@ -21,8 +21,8 @@ from threadspark.sources.state import Snapshots
 from threadspark.streaming import streams
 
 SIGHTS_DDL = "event_id long, post_id string, ts timestamp_ntz, routine string, query string, post_date timestamp_ntz, value double, seq long"
-# Days of the month the slices end before.
-SLICE_ENDS = ("2024-01-11", "2024-01-21", "2024-02-01")
+# Days the slices end before; the last one has all that is left.
+SLICE_ENDS = ("2024-01-11", "2024-01-21", None)
 LONG_DELAY = "60 days"
 
 
@@ -31,9 +31,12 @@ def landing(i: Inputs, folder: str) -> Iterator[None]:
     sights = i.observations.withColumn("seq", F.col("event_id"))
     start = None
     for end in SLICE_ENDS:
-        part = sights.filter(F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{end} 00:00:00'"))
+        part = sights
+        if end is not None:
+            part = part.filter(F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{end} 00:00:00'"))
         if start is not None:
-            part = part.filter(F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{start} 00:00:00'"))
+            late = F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{start} 00:00:00'")
+            part = part.filter(late if end is not None else late | F.col("ts").isNull())
         part.write.mode("append").parquet(folder)
         start = end
         yield

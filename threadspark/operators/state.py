@@ -72,7 +72,7 @@ def detailed(posts: DataFrame, keep: Column) -> DataFrame:
         "is_video": F.col("is_video"),
         "is_gallery": F.col("is_gallery"),
         "post_flair": F.col("post_flair"),
-        "selftext_snippet": F.substring("selftext", 1, 200),
+        "selftext_snippet": F.col("selftext"),
     }
     return posts.withColumns({name: F.when(keep, value) for name, value in rich.items()})
 

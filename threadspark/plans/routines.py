@@ -14,7 +14,6 @@ from threadspark.operators.ranking import top_k
 from threadspark.plans import query, rules
 from threadspark.session import cut_lineage
 
-MAX_PAGES = 3
 BROADCAST_ROWS = 100_000
 
 
@@ -29,6 +28,7 @@ class Routine:
     max_results: int = 8
     offset: int = 0
     page_size: int = 25
+    max_pages: int = 3  # pages of the feed a run looks at; with page_size, how deep it can go
     timeframe: str | None = None
     post_type: str | None = None
     allow_nsfw: bool = False
@@ -65,7 +65,7 @@ class Routine:
     @property
     def horizon(self) -> int:
         """Feed positions a run may look at."""
-        return self.offset + MAX_PAGES * self.page_size
+        return self.offset + self.max_pages * self.page_size
 
     def settings(self) -> dict[str, str]:
         """The settings a run used, as texts for the history; unset ones are left out."""

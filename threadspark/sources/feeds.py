@@ -9,18 +9,19 @@ from threadspark.functions.text import direct_id
 from threadspark.functions.times import parse_iso
 
 ATOM = "entry array<struct<id:string,link:array<struct<_href:string>>,updated:string>>"
-FETCH_CAP = 100
 
 
-def read_feeds(feeds: DataFrame, offset: int = 0, cap: int = FETCH_CAP) -> DataFrame:
+def read_feeds(feeds: DataFrame, offset: int = 0, cap: int | None = None) -> DataFrame:
     """``feed_id, pos, post_id, url, post_date`` from ``feed_id, xml``.
 
-    ``pos`` counts from 0 after the offset. The cap counts positions, so entries
+    ``pos`` counts from 0 after the offset. Without a cap every entry is read; a cap counts positions, so entries
     dropped for a missing id, link or date still use theirs up.
     """
     entries = F.from_xml("xml", ATOM)["entry"]
     rows = feeds.select("feed_id", F.posexplode(entries).alias("pos", "e"))
-    rows = rows.filter((F.col("pos") >= offset) & (F.col("pos") < offset + cap))
+    rows = rows.filter(F.col("pos") >= offset)
+    if cap is not None:
+        rows = rows.filter(F.col("pos") < offset + cap)
     parsed = rows.select(
         "feed_id",
         (F.col("pos") - offset).alias("pos"),

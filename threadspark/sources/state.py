@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,43 +16,50 @@ from threadspark.schema import RENAMED_STATE_COLUMNS, STATE_DDL
 class Snapshots:
     """A table kept as one folder per version, with an append-only list of versions.
 
-    A version counts once it is listed, after its folder is complete, so a lost job
-    leaves the previous version in place. Writing a version again is harmless.
+    A version counts once it is listed, after its folder is complete, so a lost job leaves the previous version
+    in place. Folders have names of their own: nothing that is listed is ever written again. A version may name the stream
+    and the batch that it holds, so that a batch which comes again is known.
     """
 
+    LISTED = "version long, folder string, stream string, batch long"
+
     def __init__(self, spark: SparkSession, root: str, ddl: str = STATE_DDL):
         self.spark = spark
         self.root = root.rstrip("/")
         self.ddl = ddl
 
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/data/v{version:012d}"
+    def _versions(self) -> DataFrame:
+        return self.spark.read.schema(self.LISTED).parquet(f"{self.root}/versions")
+
+    def latest(self) -> int | None:
+        """Number of the newest version."""
+        return self._versions().agg(F.max("version")).first()[0]
 
-    def latest(self, before: int | None = None) -> int | None:
-        """Newest version, or the newest one older than ``before``."""
-        listed = self.spark.read.schema("version long").parquet(f"{self.root}/versions")
-        if before is not None:
-            listed = listed.filter(F.col("version") < before)
-        return listed.agg(F.max("version")).first()[0]
+    def has(self, stream: str, batch: int) -> bool:
+        """Whether a version already holds this batch of this stream."""
+        return not self._versions().filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
 
     def start(self) -> "Snapshots":
         """Create the empty version list if this is a new table."""
-        self._list(0, 0)
+        self._list([])
         return self
 
-    def read(self, before: int | None = None) -> DataFrame:
-        version = self.latest(before)
-        if version is None:
+    def read(self) -> DataFrame:
+        newest = self._versions().agg(F.max(F.struct("version", "folder")).alias("v")).first()["v"]
+        if newest is None:
             return self.spark.createDataFrame([], self.ddl)
-        return self.spark.read.schema(self.ddl).parquet(self._folder(version))
-
-    def commit(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(self._folder(version))
-        self._list(version, version + 1)
-
-    def _list(self, start: int, end: int) -> None:
-        listed = self.spark.range(start, end, numPartitions=1).toDF("version")
-        listed.write.mode("append").parquet(f"{self.root}/versions")
+        return self.spark.read.schema(self.ddl).parquet(f"{self.root}/data/{newest['folder']}")
+
+    def commit(self, rows: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
+        """Write ``rows`` as the version after the newest one, list it and return its number."""
+        version = (self.latest() or 0) + 1
+        folder = f"v{version:012d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/data/{folder}")
+        self._list([(version, folder, stream, batch)])
+        return version
+
+    def _list(self, entries: list[tuple]) -> None:
+        self.spark.createDataFrame(entries, self.LISTED).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
 
 
 def upgrade(rows: DataFrame) -> DataFrame:

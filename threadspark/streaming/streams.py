@@ -108,13 +108,17 @@ def each_batch(
     _run(stream.sparkSession, stream.writeStream.foreachBatch(work), checkpoint, partitions)
 
 
-def upsert_into(table: Snapshots, to_rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Batch function that writes a new state snapshot per micro-batch.
+def stream_of(batch: DataFrame) -> str:
+    """Id of the query a micro-batch belongs to; its checkpoint keeps it, and a fresh checkpoint has a new one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
-    It starts from the version before its own, so a repeated batch writes the same.
-    """
+
+def upsert_into(table: Snapshots, to_rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Batch function that adds a state snapshot per micro-batch to the newest one; a batch that comes again changes nothing."""
     def work(batch: DataFrame, batch_id: int) -> None:
-        table.commit(upsert_first(table.read(before=batch_id), to_rows(batch)), batch_id)
+        stream = stream_of(batch)
+        if not table.has(stream, batch_id):
+            table.commit(upsert_first(table.read(), to_rows(batch)), stream, batch_id)
 
     return work
 
@@ -126,22 +130,25 @@ def classify_into(table: Snapshots, path: str, hours: float) -> Callable[[DataFr
     """Batch function that appends every sight with its ``kind`` to a history table.
 
     Per post only the first sight, whether it was young then, and the revisit are
-    kept between batches, so a hot post costs no more state than any other.
+    kept between batches, so a hot post costs no more state than any other. A batch that comes again
+    writes its part of the history again, under the name of its stream, and leaves the state as it is.
     """
     def work(batch: DataFrame, batch_id: int) -> None:
+        stream = stream_of(batch)
         due = F.timestamp_micros(F.unix_micros(to_instant(F.col("post_date"))) + F.lit(int(hours * HOUR_MS) * 1000))
         fresh = kind_moments(batch, due)
         first = F.coalesce("first", F.struct("_first.ts", "_first.seq"))
         young = F.coalesce("young", F.col("_first.ts") < F.col("_first.due"))
-        state = table.read(before=batch_id).join(fresh, "post_id", "full").select(
-            "post_id",
-            first.alias("first"),
-            young.alias("young"),
-            F.coalesce("again", F.when(young, F.col("_late"))).alias("again"),
-        )
-        table.commit(state, batch_id)
-        marked = batch.join(table.read(before=batch_id + 1), "post_id")
+        if not table.has(stream, batch_id):
+            state = table.read().join(fresh, "post_id", "full").select(
+                "post_id",
+                first.alias("first"),
+                young.alias("young"),
+                F.coalesce("again", F.when(young, F.col("_late"))).alias("again"),
+            )
+            table.commit(state, stream, batch_id)
+        marked = batch.join(table.read(), "post_id")
         history = marked.withColumn("kind", sight_kind(F.col("first"), F.col("again"))).select(*batch.columns, "kind")
-        history.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        history.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
     return work
