@@ -200,13 +200,6 @@ def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return stored(rows.join(once, "gid"), "groups")
 
 
-def _compared(edges: DataFrame, features: DataFrame) -> DataFrame:
-    """Edges (rep, hub) with the features of both."""
-    a = features.select(F.col("node").alias("rep"), F.col("features").alias("fa"))
-    b = features.select(F.col("node").alias("hub"), F.col("features").alias("fb"))
-    return edges.join(a, "rep").join(b, "hub")
-
-
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Members of a hub dealt to all pairs of the hub's blocks: key columns hub, i, j, and the side within the pair."""
     counts = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
