@@ -145,11 +145,15 @@ def fit_toxicity(
     clear = clear.filter("doc_id is not null and toxic in (0, 1)").filter(rest != 1)
     clear = clear.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("_most")).filter("label = _most").drop("_most")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = texts.join(clear, "doc_id")
-    lexicon = learn_lexicon(known, "text", "label")
-    rows = with_features(known.withColumn("side", rest), "text", lexicon, ["doc_id", "side", "label"])
-    # the rows with the smallest digests of their ids are a sample of fixed size, the same on every run
-    sample = stored(rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows).coalesce(2), "labelled")
+    # the texts are shuffled once, for the lexicon; a merge join at every size, as the labels grow with the texts
+    lexicon = learn_lexicon(texts.join(clear.hint("merge"), "doc_id"), "text", "label")
+    # the rows with the smallest digests of their ids are a sample of fixed size, the same on every run; it is picked by ids alone
+    by_digest = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
+    found = clear.join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    picked = stored(found.orderBy(*by_digest).limit(fit_rows).coalesce(1), "picked")
+    known = texts.join(F.broadcast(picked), "doc_id").withColumn("side", rest)
+    rows = with_features(known, "text", lexicon, ["doc_id", "side", "label"])
+    sample = stored(rows.orderBy(*by_digest).limit(fit_rows).coalesce(2), "labelled")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
     fit, tune = vectors.filter("side = 0"), vectors.filter("side = 2")
     if fit.select("label").distinct().count() < 2 or tune.select("label").distinct().count() < 2:
