@@ -1,7 +1,8 @@
 """Query rules as column predicates over a posts table, and the feed orders.
 
 Values inside one rule are alternatives (OR); rules are combined with AND. Every
-exclusion treats a missing value as "does not match", so the row stays.
+exclusion treats a missing value as "does not match", so the row stays. Missing
+values are named by null tests on the bare column, which a scan can take over.
 """
 
 from __future__ import annotations
@@ -64,28 +65,28 @@ def post_type_is(post_type: str | None) -> Column:
         return F.lit(True)
     if post_type not in POST_TYPES:
         raise ValueError(f"post_type must be one of {POST_TYPES}")
-    own_text = F.coalesce(F.startswith(F.col("domain"), F.lit("self.")), F.lit(False))
+    own_text = F.col("domain").isNotNull() & F.startswith(F.col("domain"), F.lit("self."))
     return own_text if post_type == "self" else ~own_text
 
 
 def flag_is(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(False))
+    return F.col(column).eqNullSafe(True)
 
 
 def one_of(column: str, values: str | Sequence[str] | None) -> Column:
     names = listed(values)
-    return F.coalesce(F.col(column).isin(names), F.lit(False)) if names else F.lit(True)
+    return F.col(column).isNotNull() & F.col(column).isin(names) if names else F.lit(True)
 
 
 def none_of(column: str, values: str | Sequence[str] | None) -> Column:
     names = listed(values)
-    return ~F.coalesce(F.col(column).isin(names), F.lit(False)) if names else F.lit(True)
+    return F.col(column).isNull() | ~F.col(column).isin(names) if names else F.lit(True)
 
 
 def _on_site(domains: Sequence[str]) -> Column:
     domain = F.col("domain")
     hits = [(domain == d) | F.endswith(domain, F.lit("." + d)) for d in domains]
-    return F.coalesce(any_of(hits), F.lit(False))
+    return domain.isNotNull() & any_of(hits)
 
 
 def domain_is(values: str | Sequence[str] | None) -> Column:
@@ -135,12 +136,12 @@ def search(tree: Mapping | Sequence | None) -> Column:
     if field == "site":
         return _on_site([phrase])
     if field == "author":
-        return F.coalesce(F.col("author") == phrase, F.lit(False))
+        return F.col("author").isNotNull() & (F.col("author") == phrase)
     raise ValueError(f"unknown search field {field!r}")
 
 
-def matches(routine, as_of: datetime) -> Column:
-    """All query rules of a routine as one condition."""
+def narrowed(routine, as_of: datetime) -> Column:
+    """The rules of a routine that look at whole values and not into texts; a scan can take them over."""
     conditions = [
         subreddit_is(routine.subreddit),
         within(routine.timeframe, as_of),
@@ -149,13 +150,7 @@ def matches(routine, as_of: datetime) -> Column:
         none_of("author", routine.exclude_author),
         domain_is(routine.domain),
         domain_is_not(routine.exclude_urls),
-        words_in("title", routine.title_search),
-        words_in("selftext", routine.selftext),
-        words_in("post_flair", routine.flair_contains),
         one_of("post_flair", routine.flair),
-        words_not_in(["post_flair"], routine.exclude_flair),
-        words_not_in(["title", "selftext"], routine.exclude_terms),
-        search(routine.search),
     ]
     if routine.nsfw_only:
         conditions.append(flag_is("over_18"))
@@ -166,6 +161,19 @@ def matches(routine, as_of: datetime) -> Column:
     return all_of(conditions)
 
 
+def matches(routine, as_of: datetime) -> Column:
+    """All query rules of a routine as one condition."""
+    return all_of([
+        narrowed(routine, as_of),
+        words_in("title", routine.title_search),
+        words_in("selftext", routine.selftext),
+        words_in("post_flair", routine.flair_contains),
+        words_not_in(["post_flair"], routine.exclude_flair),
+        words_not_in(["title", "selftext"], routine.exclude_terms),
+        search(routine.search),
+    ])
+
+
 def age_hours(as_of: datetime) -> Column:
     return (epoch_micros(ntz(as_of)) - epoch_micros(F.col("created_utc"))) / F.lit(3_600_000_000)
 

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from threadspark.functions.times import hours_before, ntz
 
 
+def _below(column: str, limit: float) -> Column:
+    """Whether a number is below ``limit``, a missing one counting as 0; never null, and it or its negation reaches the scan."""
+    low = F.col(column) < F.lit(limit)
+    return F.col(column).isNull() | low if limit > 0 else F.col(column).isNotNull() & low
+
+
 def below_score(limit: float) -> Column:
-    return F.coalesce(F.col("score"), F.lit(0)) < limit
+    return _below("score", limit)
 
 
 def below_ratio(limit: float) -> Column:
-    return F.coalesce(F.col("upvote_ratio"), F.lit(0.0)) < F.lit(float(limit))
+    return _below("upvote_ratio", float(limit))
 
 
 def below_comments(limit: int) -> Column:
-    return F.coalesce(F.col("num_comments"), F.lit(0)) < limit
+    return _below("num_comments", limit)
 
 
 def title_has(term: str) -> Column:

@@ -39,11 +39,26 @@ def judge(posts: DataFrame, state: DataFrame, routine: Routine, as_of: datetime)
 
 class Revisit(NamedTuple):
     """``accepted``: due posts that still pass the rules; ``notes``: their patched
-    notes; ``state``: the tracking table afterwards."""
+    notes; ``state``: the tracking table afterwards; ``history``: the entries to append."""
 
     accepted: DataFrame
     notes: DataFrame
     state: DataFrame
+    history: DataFrame
+
+
+def refreshed_notes(
+    accepted: DataFrame, threads: DataFrame, state: DataFrame, notes: DataFrame, detail: str, as_of: datetime
+) -> DataFrame:
+    """``post_id, path, content, part``: the notes of accepted posts, patched and with their update blocks."""
+    sections = render.render_comments(threads, detail, state)
+    blocks = render.render_updates(sections.filter(F.col("part") == 0).drop("part"), as_of)
+    bare = render.update_block(F.lit(""), as_of)
+    updates = accepted.select("post_id", "score").join(blocks, "post_id", "left")
+    updates = updates.withColumn("update_block", F.coalesce("update_block", bare))
+    patched = patch_notes(notes, updates, as_of).withColumn("part", F.lit(0))
+    more = sections.filter(F.col("part") > 0).join(patched.select("post_id", "path"), "post_id")
+    return patched.unionByName(more.select("post_id", "path", F.col("comment_section").alias("content"), "part"))
 
 
 def revisit(
@@ -57,18 +72,14 @@ def revisit(
     due = posts.join(tracking.maturing(state, as_of).select("post_id"), "post_id", "left_semi")
     accepted = cut_lineage(judge(due, state, settings, as_of).filter(F.col("status") == "accepted"))
     threads = comments.join(accepted.select("post_id"), "post_id", "left_semi")
-    sections = render.render_comments(threads, settings.detail, state)
-    blocks = render.render_updates(sections.filter(F.col("part") == 0).drop("part"), as_of)
-    bare = render.update_block(F.lit(""), as_of)
-    updates = accepted.select("post_id", "score").join(blocks, "post_id", "left")
-    updates = updates.withColumn("update_block", F.coalesce("update_block", bare))
-    rows = state_rows(accepted, [settings], as_of).drop("kind")
-    paths = state.select("post_id", F.col("file_path").alias("_path"))
-    rows = rows.join(paths, "post_id", "left").withColumn("file_path", F.coalesce("_path", "file_path")).drop("_path")
-    patched = patch_notes(notes, updates, as_of).withColumn("part", F.lit(0))
-    more = sections.filter(F.col("part") > 0).join(patched.select("post_id", "path"), "post_id")
-    more = more.select("post_id", "path", F.col("comment_section").alias("content"), "part")
-    return Revisit(accepted, patched.unionByName(more), tracking.update_later(tracking.conform(state), rows))
+    rows = state_rows(accepted, [settings], as_of, comment_dumps(accepted, comments, [settings])).drop("kind")
+    rows = with_known_paths(rows, state)
+    return Revisit(
+        accepted,
+        refreshed_notes(accepted, threads, state, notes, settings.detail, as_of),
+        tracking.update_later(tracking.conform(state), rows),
+        history_rows(accepted.withColumn("pos", F.lit(0)), [settings], as_of),
+    )
 
 
 class Run(NamedTuple):
@@ -89,6 +100,12 @@ def _only(rows: DataFrame, ids: DataFrame, bound: int | None) -> DataFrame:
     return rows.join(ids, "post_id", "left_semi")
 
 
+def with_known_paths(rows: DataFrame, state: DataFrame, bound: int | None = None) -> DataFrame:
+    """Rows with the ``file_path`` that the state has for them, or their own where it has none."""
+    paths = _only(state.select("post_id", F.col("file_path").alias("_path")), rows.select("post_id"), bound)
+    return rows.join(paths, "post_id", "left").withColumn("file_path", F.coalesce("_path", "file_path")).drop("_path")
+
+
 def _note_path(rows: DataFrame, routines: Sequence[Routine]) -> Column:
     return by_routine(routines, lambda r: note_path(rows, r.group_by) if r.save_md else F.lit(None))
 
@@ -100,10 +117,12 @@ def render_run(
     routines: Sequence[Routine],
     as_of: datetime,
     bound: int | None = None,
+    old_notes: DataFrame | None = None,
 ) -> DataFrame:
     """``post_id, path, part, content`` of the accepted posts, each by its routine's settings.
 
-    Routines with the same rendering settings share one plan. ``bound`` is the most
+    A revisited post that has a note in ``old_notes`` gets that note back, patched; one without gets a whole note
+    under its known path. Routines with the same rendering settings share one plan. ``bound`` is the most
     posts there can be, if that is known.
     """
     alike: dict[tuple, list[Routine]] = {}
@@ -114,9 +133,16 @@ def render_run(
     notes = None
     for (detail, hours, ignored), group in alike.items():
         rows = accepted.filter(F.col("routine_id").isin([r.routine_id for r in group]))
+        if old_notes is not None:
+            again = rows.filter(F.col("kind") == "rescrape")
+            old = _only(old_notes, again.select("post_id"), bound)
+            rows = rows.join(old.select("post_id"), "post_id", "left_anti")
+            part = refreshed_notes(again, _only(comments, again.select("post_id"), bound), state, old, detail, as_of)
+            notes = part if notes is None else notes.unionByName(part)
         threads = _only(comments, rows.select("post_id"), bound)
         texts = render.render_posts(rows, as_of, state, threads, detail, hours, ignored)
-        part = texts.join(rows.select("post_id", _note_path(rows, group).alias("path")), "post_id")
+        paths = with_known_paths(rows.select("post_id", _note_path(rows, group).alias("file_path")), state, bound)
+        part = texts.join(paths.withColumnRenamed("file_path", "path"), "post_id")
         notes = part if notes is None else notes.unionByName(part)
     return notes
 
@@ -192,17 +218,22 @@ def accepted_posts(posts: DataFrame, seen: DataFrame, routines: Sequence[Routine
 
 
 def run(
-    posts: DataFrame, comments: DataFrame, state: DataFrame, routines: Sequence[Routine], as_of: datetime
+    posts: DataFrame,
+    comments: DataFrame,
+    state: DataFrame,
+    routines: Sequence[Routine],
+    as_of: datetime,
+    notes: DataFrame | None = None,
 ) -> Run:
-    """All routines on the captured posts, against one state.
+    """All routines on the captured posts, against one state; ``notes`` (post_id, path, content) are the existing ones.
 
     What the routines look at is bounded by their horizons. It is written once, and
     the accepted posts are fetched once by id; every later step starts from those.
     """
     seen = cut_lineage(run_routines(posts, routines, as_of, state))
     accepted = cut_lineage(accepted_posts(posts, seen, routines))
-    notes = render_run(accepted, comments, state, routines, as_of, sum(r.max_results for r in routines))
     bound = sum(r.max_results for r in routines)
+    notes = render_run(accepted, comments, state, routines, as_of, bound, notes)
     after = _recorded(seen, accepted, comments, state, routines, as_of, bound)
     return Run(seen, accepted, notes, after, history_rows(seen, routines, as_of))
 
@@ -219,18 +250,25 @@ def _recorded(
     """The tracking table after a run."""
     rows = state_rows(accepted, routines, as_of, comment_dumps(accepted, comments, routines, bound))
     after = tracking.upsert_first(tracking.conform(state), rows.filter(F.col("kind") == "initial").drop("kind"))
-    after = tracking.update_later(after, rows.filter(F.col("kind") == "rescrape").drop("kind"))
+    later = with_known_paths(rows.filter(F.col("kind") == "rescrape").drop("kind"), state, bound)
+    after = tracking.update_later(after, later)
     again = seen.filter(F.col("status") == "hit").select("post_id", ntz(as_of).alias("ts"))
     return tracking.touch_hits(after, again)
 
 
 def run_targets(
-    targets: DataFrame, posts: DataFrame, comments: DataFrame, state: DataFrame, settings: Routine, as_of: datetime
+    targets: DataFrame,
+    posts: DataFrame,
+    comments: DataFrame,
+    state: DataFrame,
+    settings: Routine,
+    as_of: datetime,
+    notes: DataFrame | None = None,
 ) -> Run:
     """Visit the posts named in ``targets(target)`` by id or URL, by the same rules and with no limit."""
     judged = judge(direct_targets(targets, posts), state, settings, as_of)
     seen = cut_lineage(judged.withColumn("pos", F.lit(0)))
     accepted = seen.filter(F.col("status") == "accepted")
-    notes = render_run(accepted, comments, state, [settings], as_of)
+    notes = render_run(accepted, comments, state, [settings], as_of, None, notes)
     after = _recorded(seen, accepted, comments, state, [settings], as_of)
     return Run(seen, accepted, notes, after, history_rows(seen, [settings], as_of))
