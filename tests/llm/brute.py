@@ -113,3 +113,18 @@ def exact(docs):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def repeated_words(docs, size=50):
+    """doc_id -> places of the words that lie in a run of ``size`` words that another document has, too."""
+    runs = defaultdict(list)
+    for i, text in docs:
+        words = (text or "").translate(LOWER).split()
+        for at in range(len(words) - size + 1):
+            runs[tuple(words[at : at + size])].append((i, at))
+    out = defaultdict(set)
+    for places in runs.values():
+        if len({i for i, _ in places}) > 1:
+            for i, at in places:
+                out[i].update(range(at, at + size))
+    return dict(out)

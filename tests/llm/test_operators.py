@@ -264,6 +264,29 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(table_of(spark, [])).count() == 0
 
 
+def covered(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_exact_repeats_behind_partial_quotes(spark):
+    rng = random.Random(12)
+    words = vocabulary(rng, 3000)
+    rows, line = [], prose(rng, words, 12)
+    for n in range(25):
+        shared = prose(rng, words, 60).split(" ")
+        for at in (0, 5, 10, 14, 19, 24):  # smaller ids with 36 words of it
+            rows.append((len(rows), " ".join([prose(rng, words, 20 + n), *shared[at : at + 36], prose(rng, words, 30)])))
+        for k in (0, 1, 2):
+            rows.append((10_000 + 3 * n + k, " ".join([prose(rng, words, 10 + 7 * k), *shared[k:], prose(rng, words, 25)])))
+    rows += [(20_000 + k, " ".join([line] * (8 + k))) for k in range(3)] + [(20_009, prose(rng, words, 50)), (20_009, prose(rng, words, 50))]
+    rows.append((20_010, rows[6][1]))
+    got = covered(passages.repeated_passages(table_of(spark, rows)))
+    assert got == brute.repeated_words(rows)
+
+
 def test_compact_windows_cover_every_long_subsequence():
     import numpy as np
 
