@@ -128,3 +128,17 @@ def repeated_words(docs, size=50):
             for i, at in places:
                 out[i].update(range(at, at + size))
     return dict(out)
+
+
+def alike_places(x, y, least):
+    """Places of x and of y in stretches of ``least`` or more, equal at both ends, whose sets share 0.8 of their items."""
+    mine, others = set(), set()
+    equal = [(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if a == b]
+    for i, j in equal:
+        for k, m in equal:
+            if k - i + 1 >= least and m - j + 1 >= least:
+                a, b = set(x[i : k + 1]), set(y[j : m + 1])
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    mine.update(range(i, k + 1))
+                    others.update(range(j, m + 1))
+    return mine, others

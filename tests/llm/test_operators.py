@@ -287,6 +287,40 @@ def test_exact_repeats_behind_partial_quotes(spark):
     assert got == brute.repeated_words(rows)
 
 
+def test_alike_with_words_put_in_and_left_out():
+    import numpy as np
+
+    rng = random.Random(13)
+    for n in range(150):
+        shared = [rng.randrange(1 << 40) for _ in range(rng.randint(20, 50))]
+        copy = list(shared)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 2)] = [rng.randrange(1 << 40) for _ in range(rng.randint(0, 2))]
+        lead, other = n % 7, n % 5
+        x = [rng.randrange(1 << 40) for _ in range(lead)] + shared + [rng.randrange(1 << 40) for _ in range(4)]
+        y = [rng.randrange(1 << 40) for _ in range(other)] + copy
+        found = passages.alike(np.array(x, np.uint64), np.array(y, np.uint64), [(lead - other, 0, len(x))], 12)
+        assert tuple({p for a, b in spans for p in range(a, b)} for spans in found) == brute.alike_places(x, y, 12)
+
+
+def test_passages_with_a_word_put_in_or_left_out(spark):
+    rng = random.Random(14)
+    words = vocabulary(rng, 3000)
+    rows, want = [], {}
+    for n in range(80):
+        shared = prose(rng, words, (52, 60, 80, 91)[n % 4]).split(" ")
+        half = len(shared) // 2
+        copy = [*shared[:half], rng.choice(words), *shared[half:]] if n % 8 < 4 else shared[:half] + shared[half + 1 :]
+        for k, passage in ((0, shared), (1, copy)):
+            rows.append((2 * n + k, " ".join([prose(rng, words, 30 + k), *passage, prose(rng, words, 20)])))
+            want[2 * n + k] = 30 + k, 30 + k + len(passage)
+    assert not brute.repeated_words(rows)
+    got = {r.doc_id: r for r in passages.repeated_passages(table_of(spark, rows)).collect()}
+    assert all((got[i].start_word, got[i].end_word) == want[i] and got[i].rep_id == i // 2 * 2 for i in got)
+    assert len(got) >= 0.8 * len(rows)  # the search is by min-hash
+
+
 def test_compact_windows_cover_every_long_subsequence():
     import numpy as np
 
