@@ -118,7 +118,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         F.sort_array(F.concat(
             _places(t, ASSIGN, r"(?i:password|passwd|secret|token|api_?key)", 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
-            _places(t, ACCESS + r"(?<=[A-Z0-9]{20})", "AKIA", 1, yes),
+            _places(t, ACCESS, "AKIA", 1, lambda m: F.char_length(m) >= 20),
             _places(t, r"[0-9a-f]{24,}", r"[0-9a-f]{24}", 2, yes),
         )).alias("base"),
         _places(t, CANDIDATE, r"[A-Za-z0-9+/_=-]{20}", 3, lambda m: is_random(m, allowed)).alias("raw"),
