@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadspark.llm import chat, decontaminate, exact, ngrams, passages, secrets, sentences, tokens, toxicity, urls
+from threadspark.llm import chat, decontaminate, exact, ngrams, passages, periods, secrets, sentences, tokens, toxicity, urls
 from threadspark.llm.common import table
 
 RANKS, END_OF_TEXT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -61,9 +62,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def with_repeats(doc_id: int | None, words: list) -> list:
+    """The words of one document in ten, chosen by its id, repeat themselves from some word on; without an id none do."""
+    if doc_id is None or not words:
+        return words
+    g, chosen = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if chosen:
+        return words
+    n, a = len(words), g % len(words)
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(table(spark, sf_dir, "documents"), prepare=with_repeats))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_ngram_jaccard, op3_exact_dedup, op4_secret_scan, op5_sentence_pieces, op6_url_filter, op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_toxicity,
+        op11_periodic_runs,
     )
 }
 
