@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadspark.llm import chat, decontaminate, exact, ngrams, passages, periods, secrets, sentences, tokens, toxicity, urls
+from threadspark.llm import chat, decontaminate, exact, ngrams, passages, periods, secrets, sentences, simhash, tokens, toxicity, urls
 from threadspark.llm.common import table
 
 RANKS, END_OF_TEXT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -78,10 +78,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(periods.periodic_runs(table(spark, sf_dir, "documents"), prepare=with_repeats))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_ngram_jaccard, op3_exact_dedup, op4_secret_scan, op5_sentence_pieces, op6_url_filter, op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_toxicity,
-        op11_periodic_runs,
+        op11_periodic_runs, op13_simhash,
     )
 }
 
