@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadspark.llm import chat, decontaminate, exact, ngrams, passages, periods, secrets, sentences, simhash, tokens, toxicity, urls
+from threadspark.llm import chat, decontaminate, exact, ngrams, passages, periods, prefixes, secrets, sentences, simhash, tokens, toxicity, urls
 from threadspark.llm.common import table
 
 RANKS, END_OF_TEXT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
@@ -78,6 +78,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(periods.periodic_runs(table(spark, sf_dir, "documents"), prepare=with_repeats))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -85,7 +89,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_ngram_jaccard, op3_exact_dedup, op4_secret_scan, op5_sentence_pieces, op6_url_filter, op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_toxicity,
-        op11_periodic_runs, op13_simhash,
+        op11_periodic_runs, op12_prefix_trie, op13_simhash,
     )
 }
 
@@ -133,4 +137,28 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS said,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT conv_id, list(said ORDER BY i) AS w FROM t GROUP BY conv_id),
+        -- CRC-32 of the decimal id, bit by bit
+        c AS (SELECT conv_id, w, xor(list_reduce(
+                  list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                  lambda k, d: list_reduce([xor(k, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))
+                ), 4294967295) % 4 AS h FROM s),
+        r AS (SELECT c.conv_id, list_concat(list_slice(coalesce(b.w, list_slice(c.w, 1, 0)), 1, h), list_slice(c.w, h + 1, len(c.w))) AS w
+              FROM c LEFT JOIN s b ON b.conv_id = c.conv_id - c.conv_id % 20),
+        p AS (SELECT conv_id, d, list_slice(w, 1, d) AS pre, len(w) = d AS ends FROM (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM r)),
+        n AS (SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+                CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(any_value(pre[d].x), '[^\\x20\\x09-\\x0D]+')) END AS saving
+              FROM p GROUP BY pre, d),
+        k AS (SELECT list_slice(pre, 1, d - 1) AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+        f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (pre)),
+        u AS (SELECT list_slice(pre, 1, e) AS pre, sum(saving) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+              FROM (SELECT *, unnest(range(d + 1)) AS e FROM f) GROUP BY 1)
+        SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves,
+               u.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+        FROM f JOIN u USING (pre) LEFT JOIN n q ON q.d = f.d - 1 AND q.pre = list_slice(f.pre, 1, f.d - 1)""",
 }
