@@ -176,10 +176,30 @@ def test_sentence_pieces(docs, texts):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(sp.decode(ids)))
 
 
-def test_chunk_table_starts_anew():
-    table = sentences.ChunkTable(registered.PIECES, size=3)
-    text = " ".join(f"word{i % 7}" for i in range(50)) + "  \n x"
-    assert [table.encode(text) for _ in range(3)] == [table.sp.encode(text, num_threads=1)] * 3
+@pytest.mark.parametrize("size", [1, 2000, 1 << 20])
+def test_chunk_table_drops_its_older_half(size):
+    table = sentences.ChunkTable(registered.PIECES, size=size)
+    rng = random.Random(size)
+    words = vocabulary(rng, 40) + ["\u2581", "", "\u65e5\u672c", "\U0001f600", "<0x41>", "<s>", "\x00", "a\u2581b", "\n"]
+    for _ in range(60):
+        text = prose(rng, words, rng.randint(0, 30))
+        ids = table.sp.encode(text, num_threads=1)
+        assert table.encode(text) == ids
+        decoded = table.sp.decode(ids)
+        assert table.decoded(text) == decoded
+        assert table.digests(text) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(decoded))
+
+
+def test_sentence_pieces_of_odd_rows(spark):
+    docs = table_of(spark, [(None, "a b"), (3, "a b"), (3, "a b"), (4, None), (5, "")])
+    got = sorted(((r.doc_id, r.n_tokens) for r in sentences.token_digests(docs, registered.PIECES).collect()), key=repr)
+    two = len(sentences.processor(registered.PIECES).encode("a b"))
+    assert got == [(3, two), (3, two), (4, 0), (5, 0), (None, two)]
+    assert [list(r.ids) for r in sentences.encode_texts(docs.filter("doc_id > 3"), registered.PIECES).collect()] == [[], []]
+    empty = spark.createDataFrame([], DOCS)
+    assert sentences.token_digests(empty, registered.PIECES).collect() == []
+    ids = sentences.encode_texts(docs.filter("doc_id = 3"), registered.PIECES)
+    assert {r.text for r in sentences.decode_ids(ids, registered.PIECES).collect()} == {"a b"}
 
 
 def test_urls(spark):
