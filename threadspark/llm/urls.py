@@ -30,11 +30,11 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        """Matches ``host`` + newline + ``path``."""
-        host, path = self.parts
+        """Matches the hosts; a host may hold any characters, line feeds included."""
+        host, _ = self.parts
         if host.startswith("*"):
-            return rf"^(?s:[^\n]*)(?<![a-z0-9]){re.escape(host.strip('*'))}(?![a-z0-9])[^\n]*\n{_literal(path)}"
-        return rf"^(?:[^\n]*\.)?{_literal(host)}\n{_literal(path)}"
+            return rf"(?s)(?<![a-z0-9]){_literal(host.strip('*'))}(?![a-z0-9])"
+        return rf"(?s)^(?:.*\.)?{_literal(host)}\z"
 
     @property
     def tokens(self) -> list[str]:
@@ -98,11 +98,11 @@ def judge_urls(
     def packed(some: list[Rule]) -> Column:
         return F.array(*(
             F.struct(F.lit(r.layer).alias("layer"), F.lit(-len(r.name)).alias("order"), F.lit(r.verdict != "block").alias("second"),
-                     F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"))
+                     F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"), F.lit(r.parts[1]).alias("path"))
             for r in some
         ))
 
-    kind = "array<struct<layer:int,order:int,second:boolean,rule:string,verdict:string,regex:string>>"
+    kind = "array<struct<layer:int,order:int,second:boolean,rule:string,verdict:string,regex:string,path:string>>"
     everywhere = packed(always) if always else F.array().cast(kind)
     if index:
         lookup = F.create_map(*(x for token, some in index.items() for x in (F.lit(token), packed(some))))
@@ -112,8 +112,7 @@ def judge_urls(
         judged = split.withColumn("candidates", F.concat(fetched, everywhere))
     else:
         judged = split.withColumn("candidates", everywhere)
-    line = F.concat("host", F.lit("\n"), "path")
-    fits = F.filter("candidates", lambda r: F.regexp_like(line, r["regex"]))
+    fits = F.filter("candidates", lambda r: F.regexp_like(F.col("host"), r["regex"]) & F.startswith(F.col("path"), r["path"]))
     best = F.array_min(F.transform(fits, lambda r: F.struct(r["layer"], r["order"], r["second"], r["rule"], r["verdict"])))
     return judged.withColumn("best", best).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
