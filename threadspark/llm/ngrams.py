@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.llm.common import ascii_lowered, batches, rows_of, stored
+from threadspark.llm.common import ascii_lowered, batches, rows_of, rows_without, stored
 from threadspark.llm.graphs import components
 
 #: Largest over smallest size of a band.
@@ -161,18 +161,17 @@ def _digest(features: np.ndarray) -> tuple[int, int, int]:
 
 
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """high, low, doc_id and signatures of the rows that have any."""
-    out = "high long, low long, doc_id long, signatures array<long>"
+    """doc_id and signatures of the rows that have any."""
+    out = "doc_id long, signatures array<long>"
 
     def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
 
         def rows() -> Iterator[tuple]:
             for doc_id, text in rows_of(incoming):
-                features = shingles(text, n)
-                found = bands.signatures(features)
+                found = bands.signatures(shingles(text, n))
                 if len(found):
-                    yield *_digest(features)[1:], doc_id, _signed(found)
+                    yield doc_id, _signed(found)
 
         yield from batches(rows(), out, 256)
 
@@ -188,10 +187,22 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(gid, rep, size): sets under one signature, each different group of sets once."""
-    sets = _signatures(docs, n, percent).groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.min_by("signatures", "doc_id").alias("signatures"))
-    rows = sets.select("rep", F.explode("signatures").alias("gid")).repartition("gid")
+def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` with or without the written ``ids`` (doc_id), which are broadcast up to a counted bound."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", how)
+
+
+def _groups(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(gid, rep, size): sets under one signature, each different group of sets once.
+
+    Of equal sets only the smallest id makes signatures.
+    """
+    owners = sets.groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"))
+    repeated = stored(sets.select("doc_id").distinct().join(owners, "doc_id", "left_anti"), "repeated")
+    signatures = _signatures(_picked(docs, repeated, "left_anti"), n, percent)
+    rows = signatures.select(F.col("doc_id").alias("rep"), F.explode("signatures").alias("gid"))
+    # the join below would filter its side; said here, both sides read one exchange
+    rows = rows.filter("gid is not null and rep is not null").repartition("gid")
     found = rows.groupBy("gid").agg(
         F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"),
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
@@ -321,8 +332,7 @@ def _apart(edges: DataFrame, sets: DataFrame) -> DataFrame:
 def _compared(edges: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Edges (rep, hub, ...) with the shingles of both, read again from the texts that they need."""
     ids = stored(edges.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct(), "wanted")
-    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
-    features = stored(_features(some, n), "features")
+    features = stored(_features(_picked(docs, ids, "left_semi"), n), "features")
     a = features.select(F.col("node").alias("rep"), F.col("features").alias("fa"))
     b = features.select(F.col("node").alias("hub"), F.col("features").alias("fb"))
     return edges.join(a, "rep").join(b, "hub")
@@ -338,7 +348,7 @@ def find_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFr
        in other components. Of two linked members both count as near or both as far: the bounds overlap by what a link allows.
     """
     p = percent
-    groups = _groups(docs, n, percent)
+    groups = _groups(docs, sets, n, percent)
     weights = groups.groupBy("rep").agg(F.sum("size").alias("weight"))
     hubs = groups.select("gid", "rep").join(weights, "rep").groupBy("gid").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
     stars = groups.select("gid", "rep").join(hubs.select("gid", (-F.col("best.minus")).alias("hub")), "gid").filter("rep <> hub")
@@ -398,6 +408,10 @@ def ngram_components(
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the smallest id, and all rows without an id."""
-    gone = ngram_components(docs, n, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: of each component the smallest id, and all rows without an id.
+
+    Empty and null texts are linked with nothing and stay; rows that repeat the smallest id all stay. Extra columns may
+    have any names; an empty table stays empty.
+    """
+    gone = ngram_components(docs, n, percent).filter("component_id < doc_id").select("doc_id").distinct()
+    return rows_without(docs, {"doc_id": F.col("doc_id").cast("long")}, stored(gone, "gone"))
