@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from threadspark.session import fresh_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROWS_PER_BATCH = 4000
+#: Keys of at most two numbers that are broadcast to pick rows; for more of them the rows are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,18 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)  # an empty table may leave no file
 
 
+def rows_without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (name -> expression, null equal to null) aren't in the written table ``gone``, with all their columns.
+
+    Rows travel as one struct, so their columns can have any names.
+    """
+    whole = docs.select(F.struct("*").alias("row"), F.struct(*[c.alias(k) for k, c in keys.items()]).alias("key"))
+    few = gone.count() <= BROADCAST_KEYS
+    wanted = gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(f"key.{k}").eqNullSafe(F.col(f"gone_{k}")) for k in keys])
+    return whole.join(F.broadcast(wanted) if few else wanted.hint("merge"), same, how).select("row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from threadspark.llm.common import ascii_lower, stored
+from threadspark.llm.common import ascii_lower, rows_without, stored
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
@@ -143,7 +143,11 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad_id")) & (mark == F.col("_bad_mark")), "left_anti")
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    Rows without words stay, each row is judged by its own text, and null ids are ids like others. Extra columns may have any names; an
+    empty table stays empty, and without items all rows stay.
+    """
+    bad = contamination(docs, items).filter("contaminated").select("doc_id", "mark").distinct()
+    keys = {"doc_id": F.col("doc_id"), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    return rows_without(docs, keys, stored(bad, "bad"))

@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.llm.common import ascii_lower, ascii_lowered, batches, rows_of, stored
+from threadspark.llm.common import ascii_lower, ascii_lowered, batches, rows_of, rows_without, stored
 
 #: Bytes of edge labels that a task's trie may hold before it hands on its largest subtree.
 TRIE_BYTES = 64 << 20
@@ -202,17 +202,21 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the smallest or the largest id.
 
-    Rows are found again by id and text digest; of rows that repeat both one stays.
+    Rows are found again by id and text digest; of rows that repeat both one stays, whatever their other columns hold. Null texts count as
+    empty, null ids stay only if all ids of the group are null; extra columns may have any names; an empty table stays empty.
     """
-    found = exact_dedup(docs, keep=keep).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    found = stored(found.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")), "verdicts")
-
-    def among(ids: DataFrame, how: str) -> DataFrame:
-        digest = F.sha2(ascii_lower(F.col("text")), 256)
-        return docs.join(ids.select("_id", "_sha"), docs.doc_id.eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), how)
-
-    once = among(found.filter("not _kept or _n > 1"), "left_anti")
-    repeated = among(found.filter("_kept and _n > 1"), "left_semi").withColumn("_low", ascii_lower(F.col("text")))
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "_low"]).drop("_low"))
+    def part(sha: Column) -> Column:
+        return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+
+    found = exact_dedup(docs, keep=keep).groupBy("doc_id", part(F.col("text_sha256")).alias("part"))
+    found = stored(found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
+    keys = {"doc_id": F.col("doc_id").cast("long"), "part": part(F.sha2(ascii_lower(F.col("text").cast("string")), 256))}
+    once = rows_without(docs, keys, found.filter("not kept or n > 1"))
+    repeated = found.filter("kept and n > 1")
+    if repeated.isEmpty():
+        return once
+    some = rows_without(docs, keys, repeated, "left_semi")
+    packed = some.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()]).dropDuplicates(["doc_id", "part"])
+    return once.unionByName(packed.select("row.*"))

@@ -174,7 +174,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, with all their columns."""
+    """The rows of ``docs`` that score below ``limit``, with all their columns.
+
+    Null texts score as empty ones; repeated rows and null ids are judged each. Extra columns may have any names; an empty table stays empty.
+    """
     model = fit_toxicity(docs, labels)
     whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     return model.score(whole, "_text", ("_row",)).filter(F.col("score") < limit).select("_row.*")
