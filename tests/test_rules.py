@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from threadspark.plans import query, rules
+from threadspark.plans import routines as plans
 from threadspark.plans.routines import make_routine, match_routines, resolve, routines_named, run_routines, run_totals
 
 DDL = (
@@ -149,14 +151,17 @@ def test_scan_stops_at_the_limit_and_at_the_horizon(spark):
         make_routine({"max_results": 3}, routine_id=1),
         make_routine({"max_results": 100}, routine_id=2),
         make_routine({"max_results": 2, "offset": 4}, routine_id=3),
+        make_routine({"max_results": 100, "offset": 1, "horizon": 74}, routine_id=4),
+        make_routine({"max_results": 0}, routine_id=5),
     ]
     seen = run_routines(df, routines, NOW, None)
-    got = {k: [r["post_id"] for r in seen.filter(f"routine_id = {k} AND status = 'accepted'").orderBy("pos").collect()] for k in (1, 2, 3)}
+    got = {k: [r["post_id"] for r in seen.filter(f"routine_id = {k} AND status = 'accepted'").orderBy("pos").collect()] for k in range(1, 6)}
     assert got[1] == ["p001", "p003", "p005"]
-    assert got[2] == [f"p{n:03}" for n in range(1, 75, 2)]
+    assert got[2] == [f"p{n:03}" for n in range(1, 120, 2)]
+    assert got[4] == [f"p{n:03}" for n in range(1, 75, 2)] and got[5] == []
     assert got[3] == ["p005", "p007"]
     assert seen.filter("routine_id = 1").count() == 6
-    assert rows(run_totals(seen)) == [(1, 3, 0), (2, 37, 0), (3, 2, 0)]
+    assert rows(run_totals(seen)) == [(1, 3, 0), (2, 60, 0), (3, 2, 0), (4, 37, 0)]
 
 
 def test_every_candidate_is_accepted_or_rejected(spark):
@@ -164,3 +169,53 @@ def test_every_candidate_is_accepted_or_rejected(spark):
     matched = match_routines(df, [make_routine({}, routine_id=1), make_routine({"subreddit": "other"}, routine_id=2)], NOW)
     assert matched.count() == 100
     assert matched.filter("ignored_reason IS NULL").count() == 50
+
+
+def plain_run(items, routines, known, in_turn):
+    """Feeds walked post by post; ``known`` maps ids to whether a visit is due."""
+    out, given = [], set()
+    for r in routines:
+        feed = sorted((i for i in items if not r.subreddit or i["subreddit"] in r.subreddit), key=lambda i: (-i["score"] if r.sort == "top" else i["age"], i["post_id"]))
+        taken = []
+        end = None if r.horizon is None else r.offset + r.horizon
+        for pos, i in list(enumerate(feed))[r.offset : end]:
+            if len(taken) >= r.max_results:
+                break
+            name = i["post_id"]
+            hit = known.get(name) is False or (in_turn and name in given)
+            status = "hit" if hit else "accepted" if i["score"] >= r.ignore_below_score else "rejected"
+            out.append((r.routine_id, pos, name, status))
+            if status == "accepted":
+                taken.append(name)
+        given.update(taken)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_feeds_are_read_as_deep_as_needed(spark, monkeypatch, seed):
+    """Windows of three positions, then six and so on, against a walk; the posts are scanned twice, whatever the number of routines."""
+    for name, value in (("FIRST_POSITIONS", 3), ("DEEPER", 2), ("MOST_POSITIONS", 30)):
+        monkeypatch.setattr(plans, name, value)
+    rng = random.Random(seed)
+    items = [
+        {"post_id": f"p{n:03}", "score": rng.choice([5, 60, 60, 80]), "age": n + 1, "subreddit": rng.choice(["a", "b", "c"])} for n in range(150)
+    ]
+    df = posts(spark, *[post(i["post_id"], score=i["score"], hours=float(i["age"]), subreddit=i["subreddit"]) for i in items])
+    routines = [
+        make_routine({
+            "subreddit": rng.choice([None, ["a"], ["b", "c"]]), "sort": rng.choice(["top", "new"]), "max_results": rng.choice([0, 2, 5, 40, 500]),
+            "ignore_below_score": rng.choice([50, 70, 1000]), "offset": rng.choice([0, 0, 7]), "horizon": rng.choice([None, None, 25]), "allow_nsfw": True,
+        }, routine_id=k)
+        for k in range(1, 9)
+    ]
+    known = {i["post_id"]: rng.random() < 0.3 for i in rng.sample(items, 70)}
+    late, early = datetime(2030, 1, 1), datetime(2000, 1, 1)
+    state = spark.createDataFrame([(k, early if due else late) for k, due in known.items()], "post_id string, rescrape_after timestamp_ntz")
+    scans = []
+    match = plans.match_routines
+    monkeypatch.setattr(plans, "match_routines", lambda *a: scans.append(1) or match(*a))
+    got = plans.run_routines(df, routines, NOW, state).select("routine_id", "pos", "post_id", "status")
+    assert rows(got) == sorted(plain_run(items, routines, known, False), key=repr)
+    assert len(scans) == 2
+    got = plans.run_sequential(df, routines, NOW, state).select("routine_id", "pos", "post_id", "status")
+    assert rows(got) == sorted(plain_run(items, routines, known, True), key=repr)

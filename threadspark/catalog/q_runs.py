@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from threadspark.catalog.inputs import AS_OF, Inputs
@@ -85,8 +87,7 @@ MATCHED_SQL = f"""matched AS (
 LIMITS_SQL = "limits(routine_id, feed_start, most) AS (VALUES (1, 0, 20), (2, 0, 12), (3, 0, 8), (4, 0, 15), (5, 10, 8), (6, 0, 8))"
 FEED_SQL = f"""{MATCHED_SQL}, {LIMITS_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY routine_id ORDER BY sort_key DESC, post_id) - 1 AS pos FROM matched),
-feed AS (SELECT m.*, l.most FROM ranked m JOIN limits l ON m.routine_id = l.routine_id
-  WHERE pos >= feed_start AND pos < feed_start + 75)"""
+feed AS (SELECT m.*, l.most, l.feed_start FROM ranked m JOIN limits l ON m.routine_id = l.routine_id WHERE pos >= feed_start)"""
 
 
 def seen_sql(state: str) -> str:
@@ -122,9 +123,10 @@ def routines_match(i: Inputs):
     return rows.select("routine_id", "post_id", F.coalesce("ignored_reason", F.lit("accepted")).alias("verdict"))
 
 
-@query("accept_horizon", f"WITH {FEED_SQL} SELECT routine_id, CAST(pos AS INT) AS pos, post_id FROM feed")
+@query("accept_horizon", f"WITH {FEED_SQL} SELECT routine_id, CAST(pos AS INT) AS pos, post_id FROM feed WHERE pos < feed_start + 75")
 def accept_horizon(i: Inputs):
-    rows = r.feed_window(r.match_routines(i.posts, ROUTINES, AS_OF), ROUTINES)
+    bounded = [replace(routine, horizon=75) for routine in ROUTINES]
+    rows = r.feed_window(r.match_routines(i.posts, bounded, AS_OF), bounded)
     return rows.select("routine_id", "pos", "post_id")
 
 
@@ -133,6 +135,28 @@ def accept_limit(i: Inputs):
     return seen_columns(seen(i))
 
 
+DEEP = [
+    r.make_routine({"name": "many", "max_results": 500, "allow_nsfw": True}, routine_id=1),
+    r.make_routine({"name": "rare", "sort": "comments", "min_score": 400_000, "max_results": 6, "allow_nsfw": True}, routine_id=2),
+    r.make_routine({"name": "late", "sort": "top", "max_results": 40, "offset": 200, "allow_nsfw": True}, routine_id=3),
+]
+
+
+@query(
+    "accept_deep",
+    f"""WITH matched AS (
+          SELECT 1 AS routine_id, post_id, CAST(epoch_us(created_utc) AS DOUBLE) AS sort_key, CASE WHEN score < 50 THEN 'Score below 50' END AS reason FROM posts
+          UNION ALL SELECT 2, post_id, num_comments, CASE WHEN score < 400000 THEN 'Score below 400000' END FROM posts
+          UNION ALL SELECT 3, post_id, score, CASE WHEN score < 50 THEN 'Score below 50' END FROM posts),
+        limits(routine_id, feed_start, most) AS (VALUES (1, 0, 500), (2, 0, 6), (3, 200, 40)),
+        {seen_sql("known_state").split("VALUES (1, 0, 20), (2, 0, 12), (3, 0, 8), (4, 0, 15), (5, 10, 8), (6, 0, 8)),")[1]}
+        SELECT {SEEN_COLUMNS} FROM seen""",
+)
+def accept_deep(i: Inputs):
+    """Limits, rejections and an offset that no first window satisfies."""
+    return seen_columns(r.run_routines(i.posts, DEEP, AS_OF, i.known_state))
+
+
 @query(
     "run_dedup",
     f"""WITH {SEEN_SQL} SELECT post_id, routine_id, CAST(pos AS INT) AS pos FROM (
@@ -236,7 +260,7 @@ KEEPERS = [
         known AS (SELECT p.*, s.post_id IS NULL AS fresh, s.rescrape_after < {CLOCK} AS due
           FROM posts p LEFT JOIN known_state s ON p.post_id = s.post_id WHERE p.post_id IN (SELECT post_id FROM comments)),
         fed AS (SELECT *, row_number() OVER (ORDER BY score DESC, post_id) AS rn FROM known),
-        kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rn) AS taken FROM fed WHERE rn <= 75 AND (fresh OR due) AND score >= 50)
+        kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rn) AS taken FROM fed WHERE (fresh OR due) AND score >= 50)
           WHERE taken <= 30)
         SELECT k.post_id, k.upvote_ratio, k.domain, k.over_18 AS is_nsfw, coalesce(n.comments_json, '-') AS comments_dump
         FROM kept k LEFT JOIN nested n ON k.post_id = n.post_id""",

@@ -7,14 +7,18 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.operators.ranking import top_k
+from threadspark.operators.ranking import rank_within, top_k
 from threadspark.plans import query, rules
 from threadspark.session import cut_lineage
 
 BROADCAST_ROWS = 100_000
+#: Feed positions a run looks at first, and how much deeper it looks each time that wasn't enough.
+FIRST_POSITIONS, DEEPER = 100, 16
+#: Positions that are still taken from the top; beyond them the rest of a feed is ranked whole.
+MOST_POSITIONS = 50_000
 
 
 @dataclass(frozen=True)
@@ -27,8 +31,7 @@ class Routine:
     sort: str = "new"
     max_results: int = 8
     offset: int = 0
-    page_size: int = 25
-    max_pages: int = 3  # pages of the feed a run looks at; with page_size, how deep it can go
+    horizon: int | None = None  # feed positions behind the offset that a run may look at; the whole feed if None
     timeframe: str | None = None
     post_type: str | None = None
     allow_nsfw: bool = False
@@ -62,11 +65,6 @@ class Routine:
     db_limit: int = 1000
     extra: Mapping = field(default_factory=dict)
 
-    @property
-    def horizon(self) -> int:
-        """Feed positions a run may look at."""
-        return self.offset + self.max_pages * self.page_size
-
     def settings(self) -> dict[str, str]:
         """The settings a run used, as texts for the history; unset ones are left out."""
         out = {}
@@ -195,14 +193,69 @@ def by_routine(routines: Sequence[Routine], value: Callable[[Routine], Column])
     return F.lit(None) if chosen is None else chosen
 
 
-def feed_window(matched: DataFrame, routines: Sequence[Routine]) -> DataFrame:
-    """The feed positions each routine looks at, numbered from 0 in ``pos``."""
-    deepest = max(r.horizon for r in routines)
+def within_horizon(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
+    """Feed positions from a routine's offset up to its horizon."""
     first = by_routine(routines, lambda r: F.lit(r.offset))
-    last = by_routine(routines, lambda r: F.lit(r.horizon))
-    ranked = top_k(matched, ["routine_id"], [F.desc("sort_key"), F.col("post_id")], deepest, "_rank", ["post_id"])
-    pos = (F.col("_rank") - 1).cast("int")
-    return ranked.withColumn("pos", pos).filter((F.col("pos") >= first) & (F.col("pos") < last)).drop("_rank")
+    bound = by_routine(routines, lambda r: F.lit(None if r.horizon is None else r.offset + r.horizon).cast("int"))
+    return feed.filter((F.col("pos") >= first) & F.coalesce(F.col("pos") < bound, F.lit(True)))
+
+
+def _ranked(matched: DataFrame, size: int | None) -> DataFrame:
+    """The first ``size`` rows of each routine's feed, or all of them, with ``pos`` from 0."""
+    order = [F.desc("sort_key"), F.col("post_id")]
+    if size is None:
+        ranked = rank_within(matched, ["routine_id"], order, "_rank")
+    else:
+        ranked = top_k(matched, ["routine_id"], order, size, "_rank", ["post_id"])
+    return ranked.withColumn("pos", (F.col("_rank") - 1).cast("int")).drop("_rank")
+
+
+def feed_window(matched: DataFrame, routines: Sequence[Routine]) -> DataFrame:
+    """The feed positions each routine may look at, numbered from 0 in ``pos``."""
+    bounded = all(r.horizon is not None for r in routines)
+    deepest = max(r.offset + r.horizon for r in routines) if bounded else None
+    return within_horizon(_ranked(matched, deepest), routines)
+
+
+@dataclass
+class _Feed:
+    """How far a routine's feed has been read: positions, and the key and id of the last one."""
+
+    routine: Routine
+    read: int = 0
+    last: tuple[float | None, str] | None = None
+    ended: bool = False
+
+    def rest(self) -> Column:
+        """Rows behind the last one, in feed order."""
+        mine = F.col("routine_id") == self.routine.routine_id
+        if self.last is None:
+            return mine
+        key, post = self.last
+        behind = F.col("post_id") > post
+        if key is None:
+            return mine & F.col("sort_key").isNull() & behind
+        lower = F.col("sort_key").isNull() | (F.col("sort_key") < key)
+        return mine & (lower | ((F.col("sort_key") == key) & behind))
+
+
+def _deeper(source: DataFrame, feeds: Sequence[_Feed], size: int) -> DataFrame:
+    """The next ``size`` positions of each feed, written; what was read is noted in ``feeds``."""
+    routines = [f.routine for f in feeds]
+    before = {f.routine.routine_id: f.read for f in feeds}
+    whole = size > MOST_POSITIONS
+    window = _ranked(source.filter(query.any_of([f.rest() for f in feeds])), None if whole else size)
+    window = cut_lineage(window.withColumn("pos", F.col("pos") + by_routine(routines, lambda r: F.lit(before[r.routine_id]))))
+    # one row per routine
+    ends = window.groupBy("routine_id").agg(F.count(F.lit(1)), F.max(F.struct("pos", "sort_key", "post_id"))).collect()
+    found = {row[0]: (row[1], row[2]) for row in ends}
+    for feed in feeds:
+        count, last = found.get(feed.routine.routine_id, (0, None))
+        feed.read += count
+        feed.last = feed.last if last is None else (last["sort_key"], last["post_id"])
+        horizon = feed.routine.horizon
+        feed.ended = whole or count < size or (horizon is not None and feed.read >= feed.routine.offset + horizon)
+    return within_horizon(window, routines)
 
 
 def lookup_state(feed: DataFrame, state: DataFrame, feed_rows: int) -> DataFrame:
@@ -240,45 +293,90 @@ def with_status(feed: DataFrame) -> DataFrame:
 def accept(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
     """Rows a run really sees: in feed order until ``max_results`` are accepted.
 
-    ``status`` is accepted, rejected or hit. The window covers one routine's
-    positions, at most its horizon.
+    ``status`` is accepted, rejected or hit. Only the accepted rows are ranked, and of those no more than the limits; the position of a
+    routine's last one cuts its feed, so a feed in which everything is rejected gathers in no task.
     """
+    judged = with_status(feed)
     limit = by_routine(routines, lambda r: F.lit(r.max_results))
-    earlier = Window.partitionBy("routine_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum((F.col("status") == "accepted").cast("int")).over(earlier), F.lit(0))
-    seen = with_status(feed).withColumn("_taken", taken).filter(F.col("_taken") < limit)
-    return seen.drop("_taken")
+    most = max(1, *(r.max_results for r in routines))
+    taken = judged.filter(F.col("status") == "accepted").select("routine_id", "pos", "post_id")
+    last = top_k(taken, ["routine_id"], [F.col("pos")], most, "_rank", ["post_id"]).filter(F.col("_rank") == limit)
+    # one row per routine
+    cut = F.broadcast(last.select("routine_id", F.col("pos").alias("_cut")))
+    seen = judged.join(cut, "routine_id", "left").filter((limit > 0) & (F.col("_cut").isNull() | (F.col("pos") <= F.col("_cut"))))
+    return seen.drop("_cut")
 
 
-def run_routines(posts: DataFrame, routines: Sequence[Routine], as_of: datetime, state: DataFrame | None) -> DataFrame:
+def accept_in_turn(feed: DataFrame, routines: Sequence[Routine]) -> DataFrame:
+    """``accept`` for routines that run one after the other: a post that an earlier one accepted is a hit for later ones.
+
+    All routines are judged together, again and again, each time with the posts that the last pass gave to earlier routines. A pass
+    settles the first routine that isn't settled yet and mostly all others; the passes end when none changes. Only the accepted posts, bounded by
+    the limits, are written between passes.
+    """
+    turn = {r.routine_id: k for k, r in enumerate(routines)}
+    own = by_routine(routines, lambda r: F.lit(turn[r.routine_id]))
+    bound = sum(r.max_results for r in routines)
+    seen, mark = accept(feed, routines), None
+    while True:
+        taken = seen.filter(F.col("status") == "accepted").groupBy("post_id").agg(F.min(own).alias("_turn"))
+        taken = cut_lineage(taken)
+        new = taken.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("post_id", "_turn"))).first()
+        if new == mark:
+            return seen
+        mark = new
+        blocked = feed.join(F.broadcast(taken) if bound <= BROADCAST_ROWS else taken, "post_id", "left")
+        kind = F.when(F.col("_turn") < own, "hit").otherwise(F.col("kind"))
+        seen = accept(blocked.withColumn("kind", kind).drop("_turn"), routines)
+
+
+def run_routines(
+    posts: DataFrame, routines: Sequence[Routine], as_of: datetime, state: DataFrame | None,
+    settle: Callable[[DataFrame, Sequence[Routine]], DataFrame] = accept,
+) -> DataFrame:
     """All routines in one job, each judged against the state at the start of the run.
 
-    Gives ``routine_id, pos, post_id, kind, status, ignored_reason`` of every feed
-    row seen. Only the ids and keys of the posts are ranked; the feed, bounded by the
-    horizons, is written once before the state is asked about it. Without a state
-    every post counts as new.
+    Gives ``routine_id, pos, post_id, kind, status, ignored_reason`` of every feed row seen. Feeds are read from the top in windows of growing
+    depth, and only for routines that are neither filled nor at their end or horizon. The posts are scanned for the first window, and once
+    more if some routine needs a second one; that scan writes the keys of what is left of those feeds. Only the ids and keys of the posts are ranked,
+    and each window is written before the state is asked about it. Without a state every post counts as new.
     """
-    matched = match_routines(posts, routines, as_of)
-    keys = matched.select("post_id", "routine_id", "sort_key", "ignored_reason")
-    feed = cut_lineage(feed_window(keys, routines))
-    if state is None:
-        feed = feed.withColumn("known", F.lit(False)).withColumn("rescrape_after", F.lit(None).cast("timestamp_ntz"))
-    else:
-        feed = lookup_state(feed, state, sum(r.horizon for r in routines))
-    return accept(classify(feed, as_of), routines)
+    keys = ["post_id", "routine_id", "sort_key", "ignored_reason"]
+    feeds = [_Feed(r) for r in routines]
+    wanted, covered = feeds, set()
+    judged: DataFrame | None = None
+    size = max((r.offset for r in routines), default=0) + FIRST_POSITIONS
+    while True:
+        ids = {f.routine.routine_id for f in wanted}
+        if not ids <= covered:
+            source = match_routines(posts, [f.routine for f in wanted], as_of).select(keys)
+            if judged is not None:
+                source, covered = cut_lineage(source.filter(query.any_of([f.rest() for f in wanted]))), ids
+        window = _deeper(source, wanted, size)
+        if state is None:
+            window = window.withColumn("known", F.lit(False)).withColumn("rescrape_after", F.lit(None).cast("timestamp_ntz"))
+        else:
+            window = lookup_state(window, state, size * len(wanted) if size <= MOST_POSITIONS else BROADCAST_ROWS + 1)
+        window = cut_lineage(classify(window, as_of))
+        judged = window if judged is None else judged.unionByName(window)
+        seen = settle(judged, routines)
+        if all(f.ended for f in feeds):
+            return seen
+        counts = seen.filter(F.col("status") == "accepted").groupBy("routine_id").count().collect()  # one row per routine
+        taken = {row["routine_id"]: row["count"] for row in counts}
+        # a routine that lost posts to an earlier one may be open again
+        wanted = [f for f in feeds if not f.ended and taken.get(f.routine.routine_id, 0) < f.routine.max_results]
+        if not wanted:
+            return seen
+        size *= DEEPER
 
 
 def run_sequential(posts: DataFrame, routines: Sequence[Routine], as_of: datetime, state: DataFrame) -> DataFrame:
-    """Routines one after the other: a post an earlier routine accepted is a hit for later ones."""
-    done: DataFrame | None = None
-    for routine in routines:
-        known = state.select("post_id", "rescrape_after")
-        if done is not None:
-            taken = done.filter(F.col("status") == "accepted").select("post_id", F.lit(None).cast("timestamp_ntz").alias("rescrape_after"))
-            known = known.join(F.broadcast(taken.select("post_id")), "post_id", "left_anti").unionByName(taken)
-        result = cut_lineage(run_routines(posts, [routine], as_of, known))
-        done = result if done is None else done.unionByName(result)
-    return done
+    """Routines one after the other: a post an earlier routine accepted is a hit for later ones.
+
+    The posts are read as often as by ``run_routines``, whatever the number of routines.
+    """
+    return run_routines(posts, routines, as_of, state, accept_in_turn)
 
 
 def once_per_run(seen: DataFrame) -> DataFrame:
