@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 
 from tests.conftest import rows
 from threadspark.operators import comments, render
+from threadspark.operators.comments import nested_comments, nested_parts, trim_tree
 from threadspark.sources import threads
 
 DDL = "post_id string, comment_id long, parent_id long, seq long, author string, score int, body string, stickied boolean"
@@ -118,3 +120,31 @@ def test_empty_thread_has_no_rows(spark):
     raw = '[{"data":{"children":[{"data":{"id":"p"}}]}},{"data":{"children":[]}}]'
     parsed = threads.parse_threads(spark.createDataFrame([("p", raw)], "post_id string, raw string"))
     assert rows(threads.flatten_comments(parsed)) == []
+
+
+def deep_rows(seed, count):
+    """A thread of ``count`` comments, many of them in long chains."""
+    rng = random.Random(seed)
+    out = []
+    for n in range(count):
+        parent = None if n == 0 or rng.random() < 0.02 else rng.choice([n - 1] * 12 + [rng.randrange(n)])
+        out.append(("p", n, parent, n, f"a{n}", rng.randint(-3, 3), 'quote " and \\ and\nline', False))
+    return out
+
+
+def plain_nested(rows, parent=None):
+    mine = sorted((r for r in rows if r[2] == parent), key=lambda r: (-r[5], r[3]))
+    return [{"poster": r[4], "score": r[5], "body": r[6], "replies": plain_nested(rows, r[1])} for r in mine]
+
+
+@pytest.mark.parametrize("part_rows", [1, 7, 1000])
+def test_nested_json_of_any_depth(spark, part_rows):
+    rows = deep_rows(part_rows, 160)
+    ddl = "post_id string, comment_id long, parent_id long, seq long, author string, score int, body string, stickied boolean"
+    df = spark.createDataFrame(rows + [("q", 500, None, 1, "z", 1, "alone", False)], ddl)
+    tree = trim_tree(df, "XL")
+    assert tree.agg({"depth": "max"}).first()[0] > 29
+    got = {r["post_id"]: json.loads(r["comments_json"]) for r in nested_comments(tree, part_rows).collect()}
+    assert got == {"p": plain_nested(rows), "q": plain_nested([("q", 500, None, 1, "z", 1, "alone", False)])}
+    parts = nested_parts(tree, part_rows).filter("post_id = 'p'").orderBy("part").collect()
+    assert len(parts) == -(-160 // part_rows) and json.loads("".join(r["text"] for r in parts)) == got["p"]

@@ -208,7 +208,7 @@ class Inputs:
     def threads(self) -> DataFrame:
         """``post_id, raw``: thread documents; a thread has at most 128 comments.
 
-        Posts with no comments have no document here; replies nest as deep as the tree.
+        A post without comments has an empty listing; replies nest as deep as the tree.
         """
         post = F.struct(
             F.concat(F.lit("r/"), "subreddit").alias("subreddit_name_prefixed"), "subreddit",
@@ -218,11 +218,11 @@ class Inputs:
             (epoch_micros(F.col("created_utc")) / 1_000_000).alias("created_utc"),
         )
         posts = self.posts.select("post_id", F.to_json(post).alias("post"))
-        return self.thread_listings().join(posts, "post_id").select(
+        return posts.join(self.thread_listings(), "post_id", "left").select(
             "post_id",
             F.concat(
                 F.lit('[{"kind":"Listing","data":{"children":[{"kind":"t3","data":'), "post",
-                F.lit('}]}},{"kind":"Listing","data":{"children":['), "listing", F.lit("]}}]"),
+                F.lit('}]}},{"kind":"Listing","data":{"children":['), F.coalesce("listing", F.lit("")), F.lit("]}}]"),
             ).alias("raw"),
         )
 

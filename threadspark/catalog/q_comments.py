@@ -103,6 +103,19 @@ def nested_sql(node) -> str:
       FROM tree t LEFT JOIN replies1 c ON t.comment_id = c.parent_id WHERE depth = 0 GROUP BY t.post_id)"""
 
 
+#: A node opens its replies; the next one closes what lies between. ``nested`` has the text of each thread.
+WHOLE_JSON_SQL = f"""stepped AS (SELECT *, lag(depth) OVER (PARTITION BY post_id ORDER BY path) AS up FROM tree),
+    nested AS (SELECT post_id, '[' || string_agg(
+        CASE WHEN up IS NULL OR depth > up THEN '' ELSE repeat(']}}', up - depth + 1) || ',' END
+        || '{{"poster":' || {AUTHOR_SQL} || ',"score":' || CAST(score AS VARCHAR) || ',"body":' || {BODY_SQL} || ',"replies":[', '' ORDER BY path)
+        || repeat(']}}', last(depth ORDER BY path) + 1) || ']' AS comments_json FROM stepped GROUP BY post_id)"""
+
+
+@query("comments_nested_whole", f"WITH RECURSIVE {tree_sql(None)}, {WHOLE_JSON_SQL} SELECT post_id, comments_json FROM nested")
+def comments_nested_whole(i: Inputs):
+    return nested_comments(trim_tree(i.comments, "XL"))
+
+
 @query("comments_nested", f"WITH RECURSIVE {tree_sql(PRESETS['LG'])}, {nested_sql(plain_node)} SELECT post_id, comments_json FROM nested")
 def comments_nested(i: Inputs):
-    return nested_comments(trim_tree(i.comments, "LG"), len(PRESETS["LG"]))
+    return nested_comments(trim_tree(i.comments, "LG"))

@@ -7,13 +7,14 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from threadspark.catalog.inputs import AS_OF, Inputs
-from threadspark.catalog.q_comments import LINE_SQL, nested_sql, plain_node, tree_sql
+from threadspark.catalog.q_comments import LINE_SQL, WHOLE_JSON_SQL, nested_sql, plain_node, tree_sql
 from threadspark.catalog.q_posts import LABEL_SQL
 from threadspark.catalog.registry import query
 from threadspark.functions.text import label
 from threadspark.operators import render
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.plans import routines as r
+from threadspark.plans.routine_table import run_routine_table
 from threadspark.plans.run import accepted_posts, history_rows, revisit, run, run_targets
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
@@ -157,6 +158,40 @@ def accept_deep(i: Inputs):
     return seen_columns(r.run_routines(i.posts, DEEP, AS_OF, i.known_state))
 
 
+@query(
+    "routine_table_run",
+    f"""WITH settings AS (
+          SELECT routine_id, subreddit, coalesce(sort, 'new') AS sort, coalesce(max_results, 8) AS most, coalesce(ignore_below_score, 50) AS floor,
+            coalesce(ignore_older_than_hours, ignore_older_than_days * 24) AS hours, coalesce(exclude_terms, []) AS terms FROM routine_rows),
+        worded AS (SELECT *, regexp_matches(title || ' ' || selftext, '(?i)(^|[^\\p{{L}}\\p{{N}}])(ring|bolt)([^\\p{{L}}\\p{{N}}]|$)') AS worded FROM posts),
+        fed AS (
+          SELECT s.routine_id, s.most, p.post_id, CASE s.sort WHEN 'top' THEN score WHEN 'comments' THEN num_comments ELSE CAST(epoch_us(created_utc) AS DOUBLE) END AS sort_key,
+            CASE WHEN score < s.floor THEN 'Score below ' || s.floor WHEN len(terms) > 0 AND contains(lower(title), 'ring') THEN 'Excluded term: ring'
+              WHEN len(terms) > 0 AND contains(lower(title), 'bolt') THEN 'Excluded term: bolt'
+              WHEN created_utc < {CLOCK} - to_hours(s.hours) THEN 'Older than ' || s.hours || 'h' END AS reason
+          FROM worded p JOIN settings s ON (s.subreddit IS NULL OR s.subreddit[1] = p.subreddit)
+          WHERE NOT over_18 AND (len(terms) = 0 OR NOT worded)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY routine_id ORDER BY sort_key DESC, post_id) - 1 AS pos FROM fed),
+        judged AS (
+          SELECT f.*, CASE WHEN s.post_id IS NULL THEN 'initial' WHEN s.rescrape_after < {CLOCK} THEN 'rescrape' ELSE 'hit' END AS kind
+          FROM ranked f LEFT JOIN known_state s ON f.post_id = s.post_id),
+        verdicts AS (SELECT *, CASE WHEN kind = 'hit' THEN 'hit' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status FROM judged),
+        counted AS (SELECT *, coalesce(sum(CASE WHEN status = 'accepted' THEN 1 ELSE 0 END) OVER (
+            PARTITION BY routine_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM verdicts)
+        SELECT routine_id, count(*) AS n_seen, count(*) FILTER (WHERE status = 'accepted') AS n_accepted, count(*) FILTER (WHERE status = 'hit') AS n_hits,
+          max(pos)::INT AS last_pos, max(CASE WHEN status = 'accepted' THEN post_id END) AS largest, max(CASE WHEN status = 'rejected' THEN reason END) AS last_reason
+        FROM counted WHERE taken < most GROUP BY routine_id""",
+)
+def routine_table_run(i: Inputs):
+    """Every row of the routine table run on all posts; what each one saw, in one row."""
+    rows = run_routine_table(i.posts, i.routine_rows, AS_OF, i.known_state)
+    accepted, rejected = F.col("status") == "accepted", F.col("status") == "rejected"
+    return rows.groupBy("routine_id").agg(
+        F.count("*").alias("n_seen"), F.count_if(accepted).alias("n_accepted"), F.count_if(F.col("status") == "hit").alias("n_hits"),
+        F.max("pos").alias("last_pos"), F.max(F.when(accepted, F.col("post_id"))).alias("largest"), F.max(F.when(rejected, F.col("ignored_reason"))).alias("last_reason"),
+    )
+
+
 @query(
     "run_dedup",
     f"""WITH {SEEN_SQL} SELECT post_id, routine_id, CAST(pos AS INT) AS pos FROM (
@@ -249,29 +284,41 @@ def run_history(i: Inputs):
 
 
 KEEPERS = [
-    r.make_routine({"name": "kept", "sort": "top", "save_json": False, "max_results": 30, "allow_nsfw": True}, routine_id=1),
+    r.make_routine({"name": "kept", "sort": "top", "save_json": False, "max_results": 20_000, "allow_nsfw": True}, routine_id=1),
     r.make_routine({"name": "lean", "sort": "comments", "max_results": 30, "allow_nsfw": True}, routine_id=2),
 ]
+WHOLE = [
+    r.make_routine({"name": "whole", "sort": "new", "detail": "XL", "detailed_db": True, "max_results": 20_000, "min_score": 0, "allow_nsfw": True}, routine_id=1),
+]
 
 
-@query(
-    "run_details",
-    f"""WITH RECURSIVE {tree_sql(PRESETS['MD'])}, {nested_sql(plain_node)},
-        known AS (SELECT p.*, s.post_id IS NULL AS fresh, s.rescrape_after < {CLOCK} AS due
-          FROM posts p LEFT JOIN known_state s ON p.post_id = s.post_id WHERE p.post_id IN (SELECT post_id FROM comments)),
-        fed AS (SELECT *, row_number() OVER (ORDER BY score DESC, post_id) AS rn FROM known),
-        kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rn) AS taken FROM fed WHERE (fresh OR due) AND score >= 50)
-          WHERE taken <= 30)
+def kept_sql(order: str, least: int) -> str:
+    return f"""known AS (SELECT p.*, s.post_id IS NULL AS fresh, s.rescrape_after < {CLOCK} AS due
+          FROM posts p LEFT JOIN known_state s ON p.post_id = s.post_id),
+        fed AS (SELECT *, row_number() OVER (ORDER BY {order}, post_id) AS rn FROM known),
+        kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rn) AS taken FROM fed WHERE (fresh OR due) AND score >= {least})
+          WHERE taken <= 20000)
         SELECT k.post_id, k.upvote_ratio, k.domain, k.over_18 AS is_nsfw, coalesce(n.comments_json, '-') AS comments_dump
-        FROM kept k LEFT JOIN nested n ON k.post_id = n.post_id""",
-)
-def run_details(i: Inputs):
-    captured = i.posts.join(i.comments.select("post_id").distinct(), "post_id", "left_semi")
-    after = run(captured, i.comments, i.known_state, KEEPERS, AS_OF).state
+        FROM kept k LEFT JOIN nested n ON k.post_id = n.post_id"""
+
+
+def kept_details(i: Inputs, routines):
+    after = run(i.posts, i.comments, i.known_state, routines, AS_OF).state
     kept = after.filter(F.col("domain").isNotNull())
     return kept.select("post_id", "upvote_ratio", "domain", "is_nsfw", F.coalesce("comments_dump", F.lit("-")).alias("comments_dump"))
 
 
+@query("run_details", f"WITH RECURSIVE {tree_sql(PRESETS['MD'])}, {nested_sql(plain_node)}, {kept_sql('score DESC', 50)}")
+def run_details(i: Inputs):
+    return kept_details(i, KEEPERS)
+
+
+@query("run_details_whole", f"WITH RECURSIVE {tree_sql(None)}, {WHOLE_JSON_SQL}, {kept_sql('created_utc DESC', 0)}")
+def run_details_whole(i: Inputs):
+    """Whole threads in the state, replies of any depth nested in their parents."""
+    return kept_details(i, WHOLE)
+
+
 REVISIT = r.make_routine({"sort": "new", "ignore_below_score": 100, "rescrape_newer_than_hours": 12}, routine_id=1)
 REVISITED_SQL = f"""revisited AS (
   SELECT p.* FROM posts p JOIN known_state s ON p.post_id = s.post_id WHERE s.rescrape_after < {CLOCK} AND p.score >= 100)"""
@@ -341,8 +388,7 @@ DIGEST = r.make_routine({"name": "digest", "sort": "top", "max_results": 10, "al
 @query(
     "routine_notes",
     f"""WITH RECURSIVE {tree_sql(PRESETS['MD'])},
-      candidates AS (SELECT * FROM posts WHERE post_id IN (SELECT post_id FROM comments) AND score >= 50
-        AND post_id NOT IN (SELECT post_id FROM known_state)),
+      candidates AS (SELECT * FROM posts WHERE score >= 50 AND post_id NOT IN (SELECT post_id FROM known_state)),
       chosen AS (SELECT * FROM candidates ORDER BY score DESC, post_id LIMIT 10),
       sections AS (SELECT post_id, count(*) AS n_comments, string_agg({LINE_SQL}, '' ORDER BY path) AS comment_section
         FROM tree GROUP BY post_id)
@@ -351,9 +397,8 @@ DIGEST = r.make_routine({"name": "digest", "sort": "top", "max_results": 10, "al
       FROM chosen c LEFT JOIN sections s ON c.post_id = s.post_id""",
 )
 def routine_notes(i: Inputs):
-    """New posts with a captured thread: the ten best, their best comments, as notes."""
-    threads = i.comments.select("post_id").distinct()
-    unknown = i.posts.join(threads, "post_id", "left_semi").join(i.known_state.select("post_id"), "post_id", "left_anti")
+    """New posts: the ten best, with their best comments, as notes."""
+    unknown = i.posts.join(i.known_state.select("post_id"), "post_id", "left_anti")
     judged = r.run_routines(unknown, [DIGEST], AS_OF, None)
     chosen = cut_lineage(accepted_posts(i.posts, judged, [DIGEST]))
     # at most max_results ids

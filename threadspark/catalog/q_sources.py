@@ -83,7 +83,7 @@ CLEAN_COLUMNS = [c for c in POST_COLUMNS if c not in ("url_overridden_by_dest",
     f"""SELECT {', '.join(CLEAN_COLUMNS)}, coalesce(post_flair, '') AS post_flair, '' AS author_flair,
         CAST(0 AS BIGINT) AS subreddit_subscribers, coalesce(url_overridden_by_dest, '-') AS url_overridden_by_dest,
         TIMESTAMP '{AS_OF}' AS scraped_utc
-        FROM posts WHERE post_id IN (SELECT post_id FROM comments)""",
+        FROM posts""",
 )
 def clean_posts(i: Inputs):
     rows = threads.clean_posts(threads.parse_threads(i.threads()), AS_OF)
@@ -168,7 +168,7 @@ def sink_notes_roundtrip(i: Inputs):
         SELECT p.post_id, p.title, coalesce(n.comments_json, '[]') AS comments FROM posts p LEFT JOIN nested n ON p.post_id = n.post_id""",
 )
 def sink_json_comments(i: Inputs):
-    nested = nested_comments(trim_tree(i.comments, "LG"), len(PRESETS["LG"]))
+    nested = nested_comments(trim_tree(i.comments, "LG"))
     path = fresh_path(i.spark, "json")
     files.write_json(files.with_comments(i.posts, nested), path)
     back = i.spark.read.schema("post_id string, title string, comments string").json(path)

@@ -7,7 +7,7 @@ in which siblings were read. Ties in score keep that order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadspark.operators.ranking import rank_within, top_k
@@ -22,6 +22,9 @@ PRESETS: dict[str, tuple[int, ...] | None] = {
     "XL": None,
 }
 
+#: Comments of one part of a thread's JSON text.
+JSON_ROWS = 1000
+
 
 def is_valid(kind: Column | None = None) -> Column:
     """Neither deleted, removed nor stickied; ``kind`` must be a comment if given."""
@@ -121,26 +124,40 @@ def trim_tree(comments: DataFrame, detail: str = "MD") -> DataFrame:
     return _full_tree(comments) if limits is None else _level_tree(comments, limits)
 
 
-def nested_comments(tree: DataFrame, levels: int) -> DataFrame:
-    """``post_id, comments_json``: a trimmed tree as nested JSON text, best first.
+def _closing(levels: Column) -> Column:
+    return F.repeat(F.lit("]}"), levels)
+
+
+def nested_parts(tree: DataFrame, part_rows: int = JSON_ROWS) -> DataFrame:
+    """``post_id, part, text``: a tree of any depth as nested JSON text, best first, in ordered parts of at most ``part_rows`` comments.
 
-    For trees of a bounded preset: each join gathers the few replies of one comment,
-    from the deepest level up. ``parse_json`` turns the text into a nested value.
+    In path order a comment follows its parent or closes what lies between: the text of each needs the depth of the one before only,
+    so there is no loop over levels, and a thread of any size is dealt in parts. The parts of a thread join to one JSON array.
     """
     # The fields of a comment in the output.
     own = F.to_json(F.struct(F.col("author").alias("poster"), "score", "body"))
-    rows = tree.withColumn("_own", own).withColumn("_own", F.expr("substring(_own, 1, length(_own) - 1)"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "_text"))), lambda x: x["_text"]), ",")
-    below: DataFrame | None = None
-    for depth in reversed(range(levels)):
-        level = rows.filter(F.col("depth") == depth)
-        inner: Column = F.lit("")
-        if below is not None:
-            level = level.join(below, ["post_id", "comment_id"], "left")
-            inner = F.coalesce("_replies", F.lit(""))
-        level = level.withColumn("_text", F.concat("_own", F.lit(',"replies":['), inner, F.lit("]}")))
-        if depth == 0:
-            whole = level.groupBy("post_id").agg(joined.alias("_all"))
-            return whole.select("post_id", F.concat(F.lit("["), "_all", F.lit("]")).alias("comments_json"))
-        below = level.groupBy("post_id", F.col("parent_id").alias("comment_id")).agg(joined.alias("_replies"))
-    raise ValueError("levels must be at least 1")
+    rows = tree.withColumn("_own", own).select("post_id", "path", "depth", F.expr("substring(_own, 1, length(_own) - 1)").alias("_own"))
+    ranked = rank_within(rows, ["post_id"], [F.col("path")], "_rank")
+    ranked = ranked.withColumn("part", F.floor((F.col("_rank") - 1) / part_rows).cast("int"))
+    inside = Window.partitionBy("post_id", "part").orderBy("_rank")
+    ranked = ranked.withColumns({"_before": F.lag("depth").over(inside), "_own": F.concat("_own", F.lit(',"replies":['))})
+    between = F.when(F.col("depth") > F.col("_before"), F.lit("")).otherwise(F.concat(_closing(F.col("_before") - F.col("depth") + 1), F.lit(",")))
+    # what stands between parts is left to their ends
+    text = F.concat(F.when(F.col("_before").isNull(), F.lit("")).otherwise(between), "_own")
+    parts = ranked.groupBy("post_id", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", text.alias("_text")))), lambda x: x["_text"]), "").alias("_text"),
+        F.min_by("depth", "_rank").alias("_first"), F.max_by("depth", "_rank").alias("_last"),
+    )
+    # one row per part
+    after = Window.partitionBy("post_id").orderBy("part")
+    parts = parts.withColumn("_next", F.lead("_first").over(after))
+    end = F.when(F.col("_next").isNull(), F.concat(_closing(F.col("_last") + 1), F.lit("]")))
+    end = end.when(F.col("_next") > F.col("_last"), F.lit("")).otherwise(F.concat(_closing(F.col("_last") - F.col("_next") + 1), F.lit(",")))
+    start = F.when(F.col("part") == 0, F.lit("[")).otherwise(F.lit(""))
+    return parts.select("post_id", "part", F.concat(start, "_text", end).alias("text"))
+
+
+def nested_comments(tree: DataFrame, part_rows: int = JSON_ROWS) -> DataFrame:
+    """``post_id, comments_json``: the whole nested JSON text of each thread. ``parse_json`` turns it into a nested value."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "")
+    return nested_parts(tree, part_rows).groupBy("post_id").agg(joined.alias("comments_json"))

@@ -170,14 +170,14 @@ def _keeps_detail(routine: Routine) -> bool:
 def comment_dumps(
     accepted: DataFrame, comments: DataFrame, routines: Sequence[Routine], bound: int | None = None
 ) -> DataFrame | None:
-    """``post_id, comments_dump`` for routines that keep details and a bounded preset."""
+    """``post_id, comments_dump`` for routines that keep details: the tree their preset keeps, whole threads for XL."""
     dumps = None
-    for detail, limits in PRESETS.items():
+    for detail in PRESETS:
         group = [r.routine_id for r in routines if _keeps_detail(r) and (r.detail if r.detail in PRESETS else "MD") == detail]
-        if not group or limits is None:
+        if not group:
             continue
         ids = accepted.filter(F.col("routine_id").isin(group)).select("post_id")
-        part = nested_comments(trim_tree(_only(comments, ids, bound), detail), len(limits))
+        part = nested_comments(trim_tree(_only(comments, ids, bound), detail))
         dumps = part if dumps is None else dumps.unionByName(part)
     return None if dumps is None else dumps.withColumnRenamed("comments_json", "comments_dump")
 
