@@ -29,8 +29,8 @@ from threadspark.llm.graphs import components
 BAND = 1.4
 #: Ids that are broadcast (16 bytes each) to pick texts; for more of them the texts are shuffled.
 BROADCAST_IDS = 4_000_000
-#: Members of a block in the comparison within a hub's group.
-BLOCK = 512
+#: Members of a block in the comparison within a hub's group. A member travels once per block of its group.
+BLOCK = 2048
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
