@@ -31,6 +31,8 @@ BAND = 1.4
 BROADCAST_IDS = 4_000_000
 #: Members of a block in the comparison within a hub's group. A member travels once per block of its group.
 BLOCK = 2048
+#: Buckets of the first comparison of two sketches; sketches have 64 or more, a power of two.
+COARSE = 32
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -237,14 +239,18 @@ def _near_pairs(left: list[tuple], right: list[tuple], percent: int, sketches: l
     Bucket counts of two sets differ by no more than the sets do. Members are (side, rep, label, size, ...).
     """
     rows = folded(sketches)
+    # few buckets rule most pairs out at a small share of the work
+    few = rows.reshape(len(rows), -1, COARSE).sum(axis=1)
     a, b = rows[: len(left)], rows[len(left) :]
+    few_a, few_b = few[: len(left)], few[len(left) :]
     labels, sizes = np.array([m[2] for m in right]), np.array([m[3] for m in right])
     for k, m in enumerate(left):
         most = (m[3] + sizes) * (100 - percent) // (100 + percent)
         near = labels != m[2]
         if right is left:
             near[: k + 1] = False
-        spots = np.flatnonzero(near)
+        spots = np.flatnonzero(near & (np.abs(sizes - m[3]) <= most))
+        spots = spots[np.abs(few_b[spots] - few_a[k]).sum(axis=1) <= most[spots]]
         spots = spots[np.abs(b[spots] - a[k]).sum(axis=1) <= most[spots]]
         if len(spots):
             yield k, spots, most
