@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadspark.catalog.inputs import AS_OF, SIGHT_AS_OF, Inputs
 from threadspark.catalog.registry import query
+from threadspark.operators import phrases
 from threadspark.operators.comments import is_valid
 from threadspark.operators.links import post_urls, without_ignored
 from threadspark.plans import query as q
@@ -232,3 +233,37 @@ def limit_single(i: Inputs):
 def post_age(i: Inputs):
     minutes = F.round(q.age_hours(AS_OF) * 60).cast("long")
     return i.posts.select("post_id", minutes.alias("age_minutes"))
+
+
+# Phrases of one and of two words: beginnings of benchmark items, names of parts, and one without a word.
+PHRASES_SQL = r"""firsts AS (
+    SELECT item_id, split(text, ' ') AS w FROM benchmark),
+  phrases AS (
+    SELECT item_id * 4 AS phrase_id, lower(w[1]) AS phrase FROM firsts
+    UNION ALL SELECT item_id * 4 + 1, upper(w[2]) || ' ' || w[3] FROM firsts
+    UNION ALL SELECT min(p_partkey) * 4 + 2, p_name FROM part GROUP BY p_name
+    UNION ALL SELECT -1, '(+)'),
+  words AS (
+    SELECT doc_id, unnest(list_append(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), '')) AS word FROM documents),
+  candidates AS (
+    SELECT doc_id, phrase_id, phrase FROM words JOIN phrases ON word = regexp_extract(lower(phrase), '[\p{L}\p{N}]+'))"""
+
+
+def some_phrases(i: Inputs):
+    words = F.split("text", " ", -1)
+    items = i.table("benchmark").select(F.col("item_id").alias("k"), words.alias("w"))
+    one = items.select((F.col("k") * 4).alias("phrase_id"), F.lower(F.col("w")[0]).alias("phrase"))
+    two = items.select(F.col("k") * 4 + 1, F.concat(F.upper(F.col("w")[1]), F.lit(" "), F.col("w")[2]))
+    names = i.table("part").groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(F.col("k") * 4 + 2, "p_name")
+    none = i.spark.range(1).select(F.lit(-1).cast("long"), F.lit("(+)"))
+    return one.union(two).union(names).union(none)
+
+
+@query(
+    "phrase_hits",
+    rf"""WITH {PHRASES_SQL}
+        SELECT doc_id, phrase_id FROM candidates JOIN documents USING (doc_id)
+        WHERE regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}])(' || regexp_replace(phrase, '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g') || ')([^\p{{L}}\p{{N}}]|$)')""",
+)
+def phrase_hits(i: Inputs):
+    return phrases.phrase_hits(i.table("documents"), ["doc_id"], "text", some_phrases(i))

@@ -63,6 +63,12 @@ def word_pattern(phrases: Sequence[str]) -> str:
     return rf"(?iu)(^|[^\p{{L}}\p{{N}}])({escaped})([^\p{{L}}\p{{N}}]|$)"
 
 
+def word_edges(phrase: Column) -> Column:
+    """The same pattern for one phrase that stands in a column."""
+    escaped = F.regexp_replace(phrase, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    return F.concat(F.lit(r"(?iu)(^|[^\p{L}\p{N}])("), escaped, F.lit(r")([^\p{L}\p{N}]|$)"))
+
+
 def has_word(column: Column, phrases: Sequence[str]) -> Column:
     """True where the text holds one of the phrases; a null text holds none."""
     return F.coalesce(column.rlike(word_pattern(phrases)), F.lit(False))

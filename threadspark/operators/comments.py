@@ -53,34 +53,36 @@ def _step() -> Column:
     return F.struct((-F.col("score")).alias("down"), F.col("seq").alias("seq"))
 
 
-def _best(comments: DataFrame, limit: int) -> DataFrame:
+def _ranked(comments: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("score"), F.col("seq")]
-    return top_k(comments, ["post_id", "parent_id"], order, limit, "_rank", ["comment_id"]).drop("_rank")
+    return top_k(comments, ["post_id", "parent_id"], order, limit, "_rank", ["comment_id"])
+
+
+def _best(comments: DataFrame, limit: int) -> DataFrame:
+    return _ranked(comments, limit).drop("_rank")
 
 
 def _level_tree(comments: DataFrame, limits: tuple[int, ...]) -> DataFrame:
-    """One read of the comments per level.
+    """One read and one ranking of the comments, whatever the number of levels.
 
-    A level but the last is written before the next one joins it: it holds only
-    the few comments kept, while computing it again would read and sort all of them.
+    Siblings are cut to the largest limit that any level has for them and written with their ranks; the parents kept then go down
+    level by level through joins with that table.
     """
     valid = valid_comments(comments)
-    tops = valid.filter(F.col("parent_id").isNull())
-    replies = valid.filter(F.col("parent_id").isNotNull())
-    level = _best(tops, limits[0]).withColumn("depth", F.lit(0)).withColumn("path", F.array(_step()))
-    tree = None
+    top = F.col("parent_id").isNull()
+    if len(limits) == 1:
+        return _best(valid.filter(top), limits[0]).withColumn("depth", F.lit(0)).withColumn("path", F.array(_step()))
+    most = F.when(top, limits[0]).otherwise(max(limits[1:]))
+    best = cut_lineage(_ranked(valid, max(limits)).filter(F.col("_rank") <= most))
+    level = best.filter(top).drop("_rank").withColumn("depth", F.lit(0)).withColumn("path", F.array(_step()))
+    columns, tree = level.columns, level
     for depth, limit in enumerate(limits[1:], start=1):
-        level = cut_lineage(level)
-        tree = level if tree is None else tree.unionByName(level)
         parents = level.select("post_id", F.col("comment_id").alias("parent_id"), F.col("path").alias("_up"))
-        level = (
-            _best(replies, limit)
-            .join(parents, ["post_id", "parent_id"])
-            .withColumn("depth", F.lit(depth))
-            .withColumn("path", F.concat("_up", F.array(_step())))
-            .select(*level.columns)
-        )
-    return level if tree is None else tree.unionByName(level)
+        below = best.filter(~top & (F.col("_rank") <= limit)).join(parents, ["post_id", "parent_id"])
+        below = below.withColumn("depth", F.lit(depth)).withColumn("path", F.concat("_up", F.array(_step())))
+        level = cut_lineage(below.select(columns)) if depth < len(limits) - 1 else below.select(columns)
+        tree = tree.unionByName(level)
+    return tree
 
 
 def ancestor_paths(comments: DataFrame) -> DataFrame:

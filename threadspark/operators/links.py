@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadspark.functions.text import URL, contains_any, permalink_id, urls, wiki_link
+from threadspark.session import cut_lineage
+
+#: Targets that are broadcast to the links, or to the state; more of them are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Slices that the links to one target are dealt in.
+SLICES = 64
 
 
 def post_urls(override: Column, body: Column) -> Column:
@@ -36,16 +42,36 @@ def post_edges(posts: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     return edges.withColumn("dst_id", permalink_id(F.col("url")))
 
 
+def known_targets(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int]:
+    """``dst_id, wiki`` of the linked posts that the state knows, written, and their number.
+
+    Each distinct id meets the state once, however many posts link to it.
+    """
+    ids = cut_lineage(edges.filter(F.col("dst_id").isNotNull()).select("dst_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    found = cut_lineage(note_names(state).join(ids, "dst_id", "left_semi"))
+    return found, found.count()
+
+
+def _named(pointing: DataFrame, found: DataFrame, rows: int, unique: Sequence[str], how: str) -> DataFrame:
+    """Links beside the names of their targets. Beyond a broadcast, links are dealt in slices, so that one target may have very many."""
+    if rows <= BROADCAST_ROWS:
+        return pointing.join(F.broadcast(found), "dst_id", how)
+    sliced = pointing.withColumn("_slice", F.pmod(F.xxhash64(*unique), F.lit(SLICES)))
+    each = found.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
+    return sliced.join(each, ["dst_id", "_slice"], how).drop("_slice")
+
+
 def resolve_links(edges: DataFrame, state: DataFrame) -> DataFrame:
     """Adds ``link``: the note link of a known target, else the URL.
 
-    A link that is no permalink gets a key of its own post that no id can equal, so
-    such links do not meet in one partition under a null key.
+    Links that are no permalinks take no part in a join.
     """
-    no_target = F.concat(F.lit("-"), F.col("post_id"))
-    keyed = edges.withColumn("_key", F.coalesce("dst_id", no_target))
-    joined = keyed.join(note_names(state).withColumnRenamed("dst_id", "_key"), "_key", "left")
-    return joined.select(*edges.columns, F.coalesce("wiki", "url").alias("link"))
+    found, rows = known_targets(edges, state)
+    named = _named(edges.filter(F.col("dst_id").isNotNull()), found, rows, ["post_id", "url"], "left")
+    others = edges.filter(F.col("dst_id").isNull())
+    own = named.select(*edges.columns, F.coalesce("wiki", "url").alias("link"))
+    return own.unionByName(others.withColumn("link", F.col("url")))
 
 
 def post_links(posts: DataFrame, state: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
@@ -68,7 +94,8 @@ def inline_links(texts: DataFrame, keys: Sequence[str], column: str, state: Data
     """
     found = texts.select(*keys, F.posexplode(urls(F.col(column))).alias("_pos", "_url"))
     targets = found.withColumn("dst_id", permalink_id(F.col("_url"))).filter(F.col("dst_id").isNotNull())
-    named = targets.join(note_names(state), "dst_id")
+    known, rows = known_targets(targets, state)
+    named = _named(targets, known, rows, [*keys, "_pos"], "inner")
     per_row = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "wiki"))).alias("_wiki"))
     joined = texts.join(per_row, list(keys), "left")
     pieces = F.split(F.col(column), URL, -1)

@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadspark.functions.text import BLANKS, digits_or_zero
-from threadspark.functions.times import ntz, parse_iso, parse_plain
-from threadspark.operators.ranking import global_position
+from threadspark.functions.times import epoch_micros, ntz, parse_iso, parse_plain
 from threadspark.plans.rules import is_due
 from threadspark.schema import CORE_COLUMNS, RICH_COLUMNS, STATE_COLUMNS
+from threadspark.session import cut_lineage
+
+#: Touched rows of a batch that are broadcast to the state; more of them are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Equal time slices that one round of the search for the oldest row kept counts.
+SLICES = 16_384
+#: Rows left in a slice that are sorted.
+FEW_ROWS = 10_000
 
 
 def conform(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -92,25 +99,33 @@ def latest(
     return batch.groupBy("post_id").agg(whole, *values, *starts).select("post_id", "_row.*", *keep_values, *earliest)
 
 
-def upsert_first(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """First-scrape writes: new posts are added, known ones replaced but for their first visit."""
+def split_touched(state: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state's rows of the posts in ``ids`` (post_id), and all others.
+
+    The ids are written once and counted; few of them are broadcast, so that the state isn't shuffled.
+    """
+    ids = cut_lineage(ids.select("post_id").filter("post_id is not null").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return state.join(ids, "post_id", "left_semi"), state.join(ids, "post_id", "left_anti")
+
+
+def first_changes(touched: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows that a batch of first scrapes adds or replaces; ``touched`` has the state's rows of its posts."""
     rows = [c for c in STATE_COLUMNS if c not in ("post_id", "first_scrape_timestamp")]
     fresh = latest(batch, rows, "last_scrape_timestamp", earliest=["first_scrape_timestamp"])
-    fresh = fresh.withColumn("_new", F.lit(True))
-    both = state.alias("old").join(fresh.alias("new"), "post_id", "full")
-    merged = {c: F.when(F.col("_new"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in rows}
-    merged["first_scrape_timestamp"] = F.coalesce("old.first_scrape_timestamp", "new.first_scrape_timestamp")
-    return both.select(*[F.col("post_id") if c == "post_id" else merged[c].alias(c) for c in STATE_COLUMNS])
+    known = touched.select("post_id", F.col("first_scrape_timestamp").alias("_first"))
+    first = F.coalesce("_first", "first_scrape_timestamp")
+    return conform(fresh.join(known, "post_id", "left").withColumn("first_scrape_timestamp", first))
 
 
-def update_later(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Later writes: core columns are replaced, rich ones only by a value; unknown ids add no row."""
+def later_changes(touched: DataFrame, batch: DataFrame) -> DataFrame:
+    """The known rows that a batch of later scrapes replaces: core columns by its values, rich ones by a value that isn't null."""
     fresh = latest(batch, [*CORE_COLUMNS, *RICH_COLUMNS], "last_scrape_timestamp", RICH_COLUMNS)
-    both = state.alias("old").join(fresh.withColumn("_new", F.lit(True)).alias("new"), "post_id", "left")
+    both = touched.alias("old").join(fresh.alias("new"), "post_id")
     out = []
     for c in STATE_COLUMNS:
         if c in CORE_COLUMNS:
-            out.append(F.when(F.col("_new"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c))
+            out.append(F.col(f"new.{c}").alias(c))
         elif c in RICH_COLUMNS:
             out.append(F.coalesce(f"new.{c}", f"old.{c}").alias(c))
         else:
@@ -118,9 +133,22 @@ def update_later(state: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select(*out)
 
 
+def upsert_first(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """First-scrape writes: new posts are added, known ones replaced but for their first visit."""
+    touched, rest = split_touched(state, batch)
+    return conform(rest).unionByName(first_changes(touched, batch))
+
+
+def update_later(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Later writes: core columns are replaced, rich ones only by a value; unknown ids add no row."""
+    touched, rest = split_touched(state, batch)
+    return conform(rest).unionByName(later_changes(touched, batch))
+
+
 def touch_hits(state: DataFrame, seen: DataFrame) -> DataFrame:
     """Posts seen again without a scrape only move their last visit forward."""
-    last = seen.groupBy("post_id").agg(F.max("ts").alias("_seen"))
+    last = cut_lineage(seen.filter("post_id is not null").groupBy("post_id").agg(F.max("ts").alias("_seen")))
+    last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last
     moved = state.join(last, "post_id", "left")
     latest_visit = F.greatest("last_scrape_timestamp", "_seen")
     return moved.withColumn("last_scrape_timestamp", latest_visit).select(*state.columns)
@@ -130,22 +158,59 @@ def newest_first(state: DataFrame) -> DataFrame:
     return state.orderBy(F.desc("last_scrape_timestamp"), "post_id")
 
 
+def _time_of_rank(keys: DataFrame, rank: int) -> tuple[int, int] | None:
+    """The ``rank``-th largest ``seen`` of ``keys`` and the rank within the rows that share it; null for fewer rows.
+
+    Each round counts equal slices of the range that is left and goes on in the one that holds the rank: a slice per row reaches the driver.
+    """
+    low, high, rows = keys.agg(F.min("seen"), F.max("seen"), F.count(F.lit(1))).first()
+    if rows < rank:
+        return None
+    while low < high:
+        width = -(-(high - low + 1) // SLICES)
+        inside = keys.filter(F.col("seen").between(low, high))
+        counted = inside.groupBy(F.expr(f"(seen - {low}L) div {width}L").alias("slice")).count()
+        for place, count in sorted(counted.collect(), reverse=True):
+            if rank <= count:
+                break
+            rank -= count
+        low, high = low + place * width, min(high, low + (place + 1) * width - 1)
+    return low, rank
+
+
+def _id_of_rank(ids: DataFrame, rank: int) -> str:
+    """The ``rank``-th ``post_id`` in order, found by the counts of ever longer beginnings."""
+    start, count = "", None
+    while count is None or count > FEW_ROWS:
+        length = len(start) + 1
+        inside = ids.filter(F.startswith("post_id", F.lit(start)))
+        counted = inside.groupBy(F.substring("post_id", 1, length).alias("head")).count()
+        # as many beginnings as there are characters that can follow; code points sort as Spark sorts texts
+        for head, count in sorted(counted.collect()):
+            if rank <= count:
+                break
+            rank -= count
+        if len(head) < length:
+            return head
+        start = head
+    last = ids.filter(F.startswith("post_id", F.lit(start))).orderBy("post_id").limit(rank)
+    return last.agg(F.max("post_id")).first()[0]
+
+
 def prune(state: DataFrame, keep_rows: int) -> DataFrame:
-    """State with ``keep``: false for the oldest rows beyond the limit; a limit of 0 keeps all.
+    """State with ``keep``: false for the oldest rows beyond the limit; a limit of 0 keeps all. Of equal times the smallest ids stay.
 
-    Only time and id are sorted, to find the last row that stays; the table itself
-    is compared with that one row.
+    The last row that stays is selected by counts of time slices and then of the ids of its time; nothing is sorted or written, and the
+    table itself is compared with that one row. Rows never visited are the oldest.
     """
-    if keep_rows <= 0:
-        return state.withColumn("keep", F.lit(True))
-    seen = F.coalesce("last_scrape_timestamp", F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'"))
-    keys = state.select("post_id", seen.alias("seen"))
-    placed = global_position(keys, [F.desc("seen"), F.col("post_id")], "_pos")
-    last = placed.filter(F.col("_pos") == keep_rows).first()
-    if last is None:
+    never = epoch_micros(F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'"))
+    seen = F.coalesce(epoch_micros(F.col("last_scrape_timestamp")), never)
+    found = _time_of_rank(state.select(seen.alias("seen")), keep_rows) if keep_rows > 0 else None
+    if found is None:
         return state.withColumn("keep", F.lit(True))
-    edge = ntz(last["seen"])
-    return state.withColumn("keep", (seen > edge) | ((seen == edge) & (F.col("post_id") <= last["post_id"])))
+    edge, rank = found
+    last = _id_of_rank(state.filter(seen == edge).select("post_id"), rank)
+    return state.withColumn("keep", (seen > edge) | ((seen == edge) & (F.col("post_id") <= F.lit(last))))
 
 
 def _named(column: str) -> Column:

@@ -85,13 +85,15 @@ def revisit(
 class Run(NamedTuple):
     """``seen``: every feed row looked at; ``accepted``: each accepted post once, with
     its routine; ``notes``: rendered notes; ``state``: the tracking table afterwards;
-    ``history``: the entries to append to the history."""
+    ``history``: the entries to append to the history; ``changes``: the rows of ``state`` that are new or were
+    written again, as ``Snapshots.commit_changes`` takes them."""
 
     seen: DataFrame
     accepted: DataFrame
     notes: DataFrame
     state: DataFrame
     history: DataFrame
+    changes: DataFrame
 
 
 def _only(rows: DataFrame, ids: DataFrame, bound: int | None) -> DataFrame:
@@ -234,8 +236,8 @@ def run(
     accepted = cut_lineage(accepted_posts(posts, seen, routines))
     bound = sum(r.max_results for r in routines)
     notes = render_run(accepted, comments, state, routines, as_of, bound, notes)
-    after = _recorded(seen, accepted, comments, state, routines, as_of, bound)
-    return Run(seen, accepted, notes, after, history_rows(seen, routines, as_of))
+    changes, after = _recorded(seen, accepted, comments, state, routines, as_of, bound)
+    return Run(seen, accepted, notes, after, history_rows(seen, routines, as_of), changes)
 
 
 def _recorded(
@@ -246,14 +248,16 @@ def _recorded(
     routines: Sequence[Routine],
     as_of: datetime,
     bound: int | None = None,
-) -> DataFrame:
-    """The tracking table after a run."""
-    rows = state_rows(accepted, routines, as_of, comment_dumps(accepted, comments, routines, bound))
-    after = tracking.upsert_first(tracking.conform(state), rows.filter(F.col("kind") == "initial").drop("kind"))
-    later = with_known_paths(rows.filter(F.col("kind") == "rescrape").drop("kind"), state, bound)
-    after = tracking.update_later(after, later)
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that a run changes, and the tracking table afterwards. Untouched rows pass by without a shuffle."""
     again = seen.filter(F.col("status") == "hit").select("post_id", ntz(as_of).alias("ts"))
-    return tracking.touch_hits(after, again)
+    touched, rest = tracking.split_touched(tracking.conform(state), accepted.select("post_id").union(again.select("post_id")))
+    touched = cut_lineage(touched)
+    rows = state_rows(accepted, routines, as_of, comment_dumps(accepted, comments, routines, bound))
+    changed = tracking.upsert_first(touched, rows.filter(F.col("kind") == "initial").drop("kind"))
+    later = with_known_paths(rows.filter(F.col("kind") == "rescrape").drop("kind"), touched, bound)
+    changed = cut_lineage(tracking.touch_hits(tracking.update_later(changed, later), again))
+    return changed, rest.unionByName(changed)
 
 
 def run_targets(
@@ -270,5 +274,5 @@ def run_targets(
     seen = cut_lineage(judged.withColumn("pos", F.lit(0)))
     accepted = seen.filter(F.col("status") == "accepted")
     notes = render_run(accepted, comments, state, [settings], as_of, None, notes)
-    after = _recorded(seen, accepted, comments, state, [settings], as_of)
-    return Run(seen, accepted, notes, after, history_rows(seen, [settings], as_of))
+    changes, after = _recorded(seen, accepted, comments, state, [settings], as_of)
+    return Run(seen, accepted, notes, after, history_rows(seen, [settings], as_of), changes)

@@ -4,32 +4,39 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadspark.functions.times import ntz, parse_plain
-from threadspark.operators.state import conform, known_ids
+from threadspark.operators.state import BROADCAST_ROWS, conform, known_ids
 from threadspark.schema import RENAMED_STATE_COLUMNS, STATE_DDL
 
+#: Versions of changed rows that are read together before the whole table is written again.
+COMPACT_AFTER = 16
+
 
 class Snapshots:
-    """A table kept as one folder per version, with an append-only list of versions.
+    """A table with one row per ``key``, kept as one folder per version, with an append-only list of versions.
 
     A version counts once it is listed, after its folder is complete, so a lost job leaves the previous version
     in place. Folders have names of their own: nothing that is listed is ever written again. A version may name the stream
-    and the batch that it holds, so that a batch which comes again is known.
+    and the batch that it holds, so that a batch which comes again is known. A version holds the whole table, or only the rows
+    that changed, which reading puts in the place of older ones.
     """
 
-    LISTED = "version long, folder string, stream string, batch long"
+    LISTED = "version long, folder string, stream string, batch long, whole boolean"
 
-    def __init__(self, spark: SparkSession, root: str, ddl: str = STATE_DDL):
+    def __init__(self, spark: SparkSession, root: str, ddl: str = STATE_DDL, key: str = "post_id"):
         self.spark = spark
         self.root = root.rstrip("/")
         self.ddl = ddl
+        self.key = key
 
     def _versions(self) -> DataFrame:
-        return self.spark.read.schema(self.LISTED).parquet(f"{self.root}/versions")
+        listed = self.spark.read.schema(self.LISTED).parquet(f"{self.root}/versions")
+        return listed.withColumn("whole", F.coalesce("whole", F.lit(True)))  # lists of older tables don't say
 
     def latest(self) -> int | None:
         """Number of the newest version."""
@@ -44,18 +51,47 @@ class Snapshots:
         self._list([])
         return self
 
+    def _live(self) -> list[tuple[int, str, bool]]:
+        """(version, folder, whole) from the newest whole version on; ``COMPACT_AFTER`` bounds their number."""
+        listed = self._versions()
+        whole = listed.filter("whole").agg(F.max("version")).first()[0] or 0
+        return sorted(tuple(r) for r in listed.filter(F.col("version") >= whole).select("version", "folder", "whole").collect())
+
+    def _rows(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(self.ddl).parquet(f"{self.root}/data/{folder}")
+
     def read(self) -> DataFrame:
-        newest = self._versions().agg(F.max(F.struct("version", "folder")).alias("v")).first()["v"]
-        if newest is None:
-            return self.spark.createDataFrame([], self.ddl)
-        return self.spark.read.schema(self.ddl).parquet(f"{self.root}/data/{newest['folder']}")
+        """The newest row of each key. Changed rows are few as a rule: their keys are counted and broadcast to the whole version."""
+        live = self._live()
+        base = self._rows(live[0][1]) if live and live[0][2] else None
+        changes = [self._rows(folder).withColumn("_version", F.lit(version)) for version, folder, whole in live if not whole]
+        if not changes:
+            return self.spark.createDataFrame([], self.ddl) if base is None else base
+        columns = [c for c in changes[0].columns if c not in (self.key, "_version")]
+        together = reduce(DataFrame.union, changes)
+        newest = together.groupBy(self.key).agg(F.max_by(F.struct(*columns), "_version").alias("_row")).select(self.key, "_row.*")
+        if base is None:
+            return newest
+        keys = together.select(self.key).distinct()
+        keys = F.broadcast(keys) if together.count() <= BROADCAST_ROWS else keys
+        return base.join(keys, self.key, "left_anti").select(newest.columns).union(newest)
 
     def commit(self, rows: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
-        """Write ``rows`` as the version after the newest one, list it and return its number."""
+        """Write ``rows``, the whole table, as the version after the newest one, list it and return its number."""
+        return self._add(rows, stream, batch, True)
+
+    def commit_changes(self, rows: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
+        """Write only the rows that are new or other than before. After ``COMPACT_AFTER`` such versions the whole table is written again."""
+        version = self._add(rows, stream, batch, False)
+        if sum(not whole for _, _, whole in self._live()) >= COMPACT_AFTER:
+            version = self.commit(self.read())
+        return version
+
+    def _add(self, rows: DataFrame, stream: str | None, batch: int | None, whole: bool) -> int:
         version = (self.latest() or 0) + 1
         folder = f"v{version:012d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/data/{folder}")
-        self._list([(version, folder, stream, batch)])
+        self._list([(version, folder, stream, batch, whole)])
         return version
 
     def _list(self, entries: list[tuple]) -> None:

@@ -6,17 +6,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from threadspark.functions.times import hours_before, to_instant
+from threadspark.functions.times import hours_before, to_instant, to_wall
 from threadspark.operators.history import kind_moments, sight_kind
-from threadspark.operators.state import upsert_first
+from threadspark.operators.state import first_changes, split_touched
 from threadspark.sources.state import Snapshots
 
 SALTS = 32
@@ -49,28 +48,19 @@ def young_enough(sights: DataFrame, hours: float, as_of: datetime) -> DataFrame:
 
 
 def due_visits(sights: DataFrame, hours: float, delay: str) -> DataFrame:
-    """``post_id, due``: posts seen while younger than ``hours``, once the watermark passes their due time."""
-    due = F.unix_micros(to_instant(F.col("post_date"))) / 1000 + hours * HOUR_MS
+    """``post_id, due``: posts seen while younger than ``hours``, once the watermark passes their due time.
+
+    Each sight opens a session of its post that lasts until the post is due; the sessions of a post overlap, so they are one, which ends
+    and is given when it is due.
+    """
+    marked = sights.withWatermark("ts", delay)
+    due = F.unix_micros(to_instant(F.col("post_date"))) + F.lit(int(hours * HOUR_MS) * 1000)
+    left = due - F.unix_micros("ts")
     # the watermark comes before the filter: sights of older posts move the clock too
-    marked = sights.withWatermark("ts", delay).withColumn("due_ms", due.cast("long"))
-    watched = _once(marked.filter(F.unix_millis("ts") < F.col("due_ms"))).select("post_id", "ts", "due_ms")
-
-    def visit(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (due_ms,) = state.get
-            state.remove()
-            yield pd.DataFrame({"post_id": [key[0]], "due": [pd.Timestamp(due_ms, unit="ms")]})
-            return
-        due_ms = max(int(frame["due_ms"].max()) for frame in frames)
-        if due_ms <= state.getCurrentWatermarkMs():
-            yield pd.DataFrame({"post_id": [key[0]], "due": [pd.Timestamp(due_ms, unit="ms")]})
-        elif not state.exists:
-            state.update((due_ms,))
-            state.setTimeoutTimestamp(due_ms)
-
-    return watched.groupBy("post_id").applyInPandasWithState(
-        visit, "post_id string, due timestamp_ntz", "due_ms long", "append", "EventTimeTimeout"
-    )
+    young = _once(marked.withColumn("_left", left).filter("_left > 0"))
+    wait = F.make_interval(secs=(F.col("_left").cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    sessions = young.groupBy("post_id", F.session_window("ts", wait).alias("_open")).agg(F.count(F.lit(1)).alias("_sights"))
+    return sessions.select("post_id", to_wall(F.col("_open.end")).alias("due"))
 
 
 PARTITIONS_KEY = "spark.sql.shuffle.partitions"
@@ -110,15 +100,20 @@ def each_batch(
 
 def stream_of(batch: DataFrame) -> str:
     """Id of the query a micro-batch belongs to; its checkpoint keeps it, and a fresh checkpoint has a new one."""
-    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+    name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not name:
+        raise RuntimeError("the batch belongs to no streaming query, so a repeated one could not be told from a new one")
+    return name
 
 
 def upsert_into(table: Snapshots, to_rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Batch function that adds a state snapshot per micro-batch to the newest one; a batch that comes again changes nothing."""
+    """Batch function that adds the rows which a micro-batch changes to a state table; a batch that comes again changes nothing."""
     def work(batch: DataFrame, batch_id: int) -> None:
         stream = stream_of(batch)
         if not table.has(stream, batch_id):
-            table.commit(upsert_first(table.read(), to_rows(batch)), stream, batch_id)
+            rows = to_rows(batch)
+            touched, _ = split_touched(table.read(), rows)
+            table.commit_changes(first_changes(touched, rows), stream, batch_id)
 
     return work
 
@@ -140,14 +135,16 @@ def classify_into(table: Snapshots, path: str, hours: float) -> Callable[[DataFr
         first = F.coalesce("first", F.struct("_first.ts", "_first.seq"))
         young = F.coalesce("young", F.col("_first.ts") < F.col("_first.due"))
         if not table.has(stream, batch_id):
-            state = table.read().join(fresh, "post_id", "full").select(
+            touched, _ = split_touched(table.read(), batch)
+            changes = fresh.join(touched, "post_id", "left").select(
                 "post_id",
                 first.alias("first"),
                 young.alias("young"),
                 F.coalesce("again", F.when(young, F.col("_late"))).alias("again"),
             )
-            table.commit(state, stream, batch_id)
-        marked = batch.join(table.read(), "post_id")
+            table.commit_changes(changes, stream, batch_id)
+        touched, _ = split_touched(table.read(), batch)
+        marked = batch.join(touched, "post_id")
         history = marked.withColumn("kind", sight_kind(F.col("first"), F.col("again"))).select(*batch.columns, "kind")
         history.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
