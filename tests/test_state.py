@@ -223,3 +223,56 @@ def test_due_timer_waits_for_the_watermark(spark, tmp_path):
     assert run(("a", 1, 0), ("late", 2, 1.5)) == []
     assert run(("x", 2.5, -9)) == [("a", at(2))]
     assert run(("y", 9, -9)) == [("a", at(2)), ("late", at(3.5))]
+
+
+def test_a_changed_row_writes_one_row(spark, tmp_path, monkeypatch):
+    from threadspark.sources import state as source
+
+    monkeypatch.setattr(source, "COMPACT_AFTER", 3)
+    store = Snapshots(spark, str(tmp_path / "s")).start()
+    store.commit(table(spark, *[{"post_id": f"p{n}", "title": "old"} for n in range(50)]))
+    for step, name in enumerate(("p7", "new", "p7")):
+        batch = table(spark, {"post_id": name, "title": f"t{step}", "last_scrape_timestamp": at(step)})
+        touched, _ = state.split_touched(store.read(), batch)
+        version = store.commit_changes(state.first_changes(touched, batch), "q", step)
+        written = [spark.read.parquet(f"{store.root}/data/{folder}").count() for _, folder, whole in store._live() if not whole]
+        assert written == [1] * (step + 1 if step < 2 else 0) and store.has("q", step)
+        assert {r["post_id"]: r["title"] for r in store.read().filter("title <> 'old'").collect()}[name] == f"t{step}"
+    assert version == 5 and store.read().count() == 51  # the third one made the table whole again
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_changes_are_read_in_place_of_older_rows(spark, tmp_path, monkeypatch, few):
+    from threadspark.sources import state as source
+
+    monkeypatch.setattr(source, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(state, "BROADCAST_ROWS", few)
+    store = Snapshots(spark, str(tmp_path / "s")).start()
+    store.commit_changes(table(spark, {"post_id": "a", "title": "1"}, {"post_id": "b", "title": "1"}))
+    store.commit_changes(table(spark, {"post_id": "a", "title": None}))
+    assert rows(store.read().select("post_id", "title")) == [("a", None), ("b", "1")]
+    store.commit(store.read())
+    store.commit_changes(table(spark, {"post_id": "b", "title": "2"}, {"post_id": "c", "title": "2"}))
+    assert rows(store.read().select("post_id", "title")) == [("a", None), ("b", "2"), ("c", "2")]
+    touched, rest = state.split_touched(store.read(), spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "post_id string"))
+    assert rows(touched.select("post_id")) == [("a",)] and rows(rest.select("post_id")) == [("b",), ("c",)]
+
+
+def test_upsert_has_no_full_outer_join(spark):
+    old = table(spark, *[{"post_id": f"p{n}", "title": "old"} for n in range(9)])
+    plan = state.upsert_first(old, table(spark, {"post_id": "p1", "title": "new"}))._jdf.queryExecution().toString()
+    assert "FullOuter" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("slices, few", [(16_384, 10_000), (256, 2)])
+def test_prune_selects_what_a_sort_would(spark, monkeypatch, slices, few):
+    monkeypatch.setattr(state, "SLICES", slices)
+    monkeypatch.setattr(state, "FEW_ROWS", few)
+    ids = ["a", "ab", "abc", "abd", "b", "é", "z", "\U0001f600", "\uffee"]
+    items = [{"post_id": f"{name}{n}", "last_scrape_timestamp": None if n == 0 else at(n // 3)} for n in range(4) for name in ids]
+    df = table(spark, *items)
+    ordered = sorted(items, key=lambda r: (-(r["last_scrape_timestamp"] or datetime(1, 1, 1)).timestamp() if r["last_scrape_timestamp"] else 1e18, r["post_id"].encode()))
+    for keep in (5, 28, 36):
+        assert {r["post_id"] for r in state.prune(df, keep).filter("keep").collect()} == {r["post_id"] for r in ordered[:keep]}
+    marked = state.prune(df, 5)._jdf.queryExecution().toString()
+    assert "Sort" not in marked and "Exchange" not in marked

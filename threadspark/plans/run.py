@@ -254,9 +254,15 @@ def _recorded(
     touched, rest = tracking.split_touched(tracking.conform(state), accepted.select("post_id").union(again.select("post_id")))
     touched = cut_lineage(touched)
     rows = state_rows(accepted, routines, as_of, comment_dumps(accepted, comments, routines, bound))
-    changed = tracking.upsert_first(touched, rows.filter(F.col("kind") == "initial").drop("kind"))
+    first = tracking.first_changes(touched, rows.filter(F.col("kind") == "initial").drop("kind"))
     later = with_known_paths(rows.filter(F.col("kind") == "rescrape").drop("kind"), touched, bound)
-    changed = cut_lineage(tracking.touch_hits(tracking.update_later(changed, later), again))
+    later = tracking.later_changes(touched, later)
+    only_seen = touched.join(accepted.select("post_id"), "post_id", "left_anti")
+    last = again.groupBy("post_id").agg(F.max("ts").alias("_seen"))
+    changed = tracking.conform(first.unionByName(later).unionByName(only_seen).join(last, "post_id", "left").withColumn(
+        "last_scrape_timestamp", F.greatest("last_scrape_timestamp", "_seen")
+    ))
+    changed = cut_lineage(changed)
     return changed, rest.unionByName(changed)
 
 
