@@ -14,7 +14,7 @@ from threadspark.functions.text import label
 from threadspark.operators import render
 from threadspark.operators.comments import PRESETS, trim_tree
 from threadspark.plans import routines as r
-from threadspark.plans.routine_table import run_routine_table
+from threadspark.plans.routine_table import routine_table_totals
 from threadspark.plans.run import accepted_posts, history_rows, revisit, run, run_targets
 from threadspark.session import cut_lineage
 from threadspark.sinks.files import note_path
@@ -184,12 +184,7 @@ def accept_deep(i: Inputs):
 )
 def routine_table_run(i: Inputs):
     """Every row of the routine table run on all posts; what each one saw, in one row."""
-    rows = run_routine_table(i.posts, i.routine_rows, AS_OF, i.known_state)
-    accepted, rejected = F.col("status") == "accepted", F.col("status") == "rejected"
-    return rows.groupBy("routine_id").agg(
-        F.count("*").alias("n_seen"), F.count_if(accepted).alias("n_accepted"), F.count_if(F.col("status") == "hit").alias("n_hits"),
-        F.max("pos").alias("last_pos"), F.max(F.when(accepted, F.col("post_id"))).alias("largest"), F.max(F.when(rejected, F.col("ignored_reason"))).alias("last_reason"),
-    )
+    return routine_table_totals(i.posts, i.routine_rows, AS_OF, i.known_state)
 
 
 @query(
