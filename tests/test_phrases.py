@@ -51,3 +51,14 @@ def test_plan_does_not_grow_with_the_phrases(spark):
         return len(ph.phrase_hits(df, ["id"], "body", many)._jdf.queryExecution().optimizedPlan().toString())
 
     assert abs(size(5) - size(5000)) < 200
+
+
+def test_phrases_of_ascii_words_run_no_pattern(spark, monkeypatch):
+    monkeypatch.setattr(ph, "word_edges", lambda phrase: F.lit("nothing holds this"))
+    df = spark.createDataFrame([(1, "a Hot, ring"), (2, "HOT \u0130ce R\u0131ng"), (3, "shot ring"), (4, "hot  ring"), (5, "hot ring hot \u212aey")], "id int, body string")
+    given = [(1, "hot"), (2, "Hot ring"), (3, "ice ring"), (4, "HOT key"), (5, "hot ice ring"), (6, "hot ring hot key")]
+    got = ph.phrase_hits(df, ["id"], "body", spark.createDataFrame(given[:5], "phrase_id int, phrase string"))
+    assert rows(got) == [(1, 1), (2, 1), (2, 3), (2, 5), (4, 1), (5, 1), (5, 2), (5, 4)]
+    monkeypatch.undo()
+    longer = ph.phrase_hits(df, ["id"], "body", spark.createDataFrame(given[5:], "phrase_id int, phrase string"))
+    assert rows(longer) == [(5, 6)]
