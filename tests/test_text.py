@@ -101,3 +101,10 @@ def test_captured_files(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<feed>\n</feed>")
     assert [tuple(r) for r in read_thread_files(spark, str(tmp_path)).collect()] == [("a1", "[1,\n2]")]
     assert [r["xml"] for r in read_feed_files(spark, str(tmp_path)).collect()] == ["<feed>\n</feed>"]
+
+
+def test_frontmatter_is_read_once(spark):
+    given = spark.createDataFrame([("a", NOTE), ("b", "---\nx: 1\n y :2 \n---\n"), ("c", "bare")], "path string, content string")
+    got = with_frontmatter(given).filter(F.size("frontmatter") > 0).select("path", F.map_entries("frontmatter").alias("m"))
+    assert {r["path"]: dict(r["m"]) for r in got.collect()} == {"a": {"score": "12", "rescrape_after": "2024", "flair": "last"}, "b": {"x": "1", "y": "2"}}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays") == 1

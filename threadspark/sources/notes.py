@@ -33,15 +33,16 @@ def _pairs(content: Column) -> Column:
 def _last_wins(pairs: Column) -> Column:
     keys = F.array_distinct(F.transform(pairs, lambda pair: pair["key"]))
     last = F.transform(keys, lambda key: F.element_at(F.filter(pairs, lambda pair: pair["key"] == key), -1)["value"])
-    return F.map_from_arrays(keys, last)
+    # only a note that repeats a key looks for its last lines, in time square to their number
+    return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(F.map_from_arrays(keys, last))
 
 
 def with_frontmatter(notes: DataFrame) -> DataFrame:
     """Adds ``frontmatter``: the ``key: value`` lines of ``content`` as a map.
 
     The last line of a key counts; a note without frontmatter gets an empty map.
-    The lines pass through a one-row explode, so that a later filter on the map is
-    not pushed below it and does not read them again.
+    The lines and the map pass through one-row explodes, so that a later filter on the map is
+    not pushed below them and does not make them again.
     """
     split = notes.select("*", F.explode(F.array(_pairs(F.col("content")))).alias("_pairs"))
-    return split.withColumn("frontmatter", _last_wins(F.col("_pairs"))).drop("_pairs")
+    return split.select("*", F.explode(F.array(_last_wins(F.col("_pairs")))).alias("frontmatter")).drop("_pairs")
