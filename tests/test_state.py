@@ -276,3 +276,10 @@ def test_prune_selects_what_a_sort_would(spark, monkeypatch, slices, few):
         assert {r["post_id"] for r in state.prune(df, keep).filter("keep").collect()} == {r["post_id"] for r in ordered[:keep]}
     marked = state.prune(df, 5)._jdf.queryExecution().toString()
     assert "Sort" not in marked and "Exchange" not in marked
+
+
+def test_rebuild_cuts_the_frontmatter_off_once(spark):
+    notes = spark.createDataFrame([("n/x.md", "---\npost_id: x\n---\n# \r\n", {"post_id": "x"})], "path string, content string, frontmatter map<string,string>")
+    got = state.rebuild(notes, table(spark, {"post_id": "k"}), at(5))
+    assert [r["title"] for r in got.collect()] == [""]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1

@@ -282,12 +282,12 @@ def rebuild(notes: DataFrame, state: DataFrame, as_of: datetime) -> DataFrame:
         return F.try_element_at("frontmatter", F.lit(key))
 
     body = F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n", "")
-    heading = F.btrim(F.regexp_extract(body, r"(?m)^# (.*)$", 1), F.lit(BLANKS))
+    heading = F.nullif(F.regexp_extract(body, r"(?m)^# (.*)$", 0), F.lit(""))
     file_name = F.element_at(F.split("path", "/"), -1)
     posted = parse_plain(value("date_posted"), r"^\d{4}-\d{2}-\d{2}$")
     rows = notes.filter(value("post_id").isNotNull()).select(
         value("post_id").alias("post_id"),
-        F.when(body.rlike(r"(?m)^# "), heading).otherwise(file_name).alias("title"),
+        F.coalesce(F.btrim(F.substring(heading, 3, 2**31 - 1), F.lit(BLANKS)), file_name).alias("title"),
         F.coalesce(value("author"), F.lit("N/A")).alias("author"),
         F.coalesce(value("subreddit"), F.lit("N/A")).alias("subreddit"),
         F.coalesce(value("flair"), F.lit("N/A")).alias("label"),
