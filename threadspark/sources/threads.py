@@ -35,10 +35,12 @@ FLAG_FIELDS = ["is_video", "is_gallery", "stickied", "spoiler", "over_18"]
 
 
 def parse_threads(threads: DataFrame) -> DataFrame:
-    """``post_id, doc`` from ``post_id, raw``; payloads that are no list are dropped."""
-    parsed = threads.select("post_id", F.try_parse_json("raw").alias("doc"))
-    items = F.try_variant_get("doc", "$", "array<variant>")
-    return parsed.filter(F.coalesce(F.size(items), F.lit(0)) > 0)
+    """``post_id, doc`` from ``post_id, raw``; payloads that are no list are dropped.
+
+    Documents pass through a one-row explode, so that a filter on them is not pushed below it and does not parse them again.
+    """
+    parsed = threads.select("post_id", F.explode(F.array(F.try_parse_json("raw"))).alias("doc"))
+    return parsed.filter(F.try_variant_get("doc", "$[0]", "variant").isNotNull())
 
 
 def _field(node: Column, name: str, kind: str) -> Column:
