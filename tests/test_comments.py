@@ -7,6 +7,7 @@ from tests.conftest import rows
 from threadspark.operators import comments, render
 from threadspark.operators.comments import nested_comments, nested_parts, trim_tree
 from threadspark.sources import threads
+from threadspark.catalog.inputs import Inputs
 
 DDL = "post_id string, comment_id long, parent_id long, seq long, author string, score int, body string, stickied boolean"
 
@@ -148,3 +149,29 @@ def test_nested_json_of_any_depth(spark, part_rows):
     assert got == {"p": plain_nested(rows), "q": plain_nested([("q", 500, None, 1, "z", 1, "alone", False)])}
     parts = nested_parts(tree, part_rows).filter("post_id = 'p'").orderBy("part").collect()
     assert len(parts) == -(-160 // part_rows) and json.loads("".join(r["text"] for r in parts)) == got["p"]
+
+
+def test_documents_are_parsed_once(spark):
+    given = spark.createDataFrame([("p", "[null]"), ("q", "[]"), ("r", '{"0": 1}'), ("s", "[")], "post_id string, raw string")
+    parsed = threads.parse_threads(given)
+    assert [r["post_id"] for r in parsed.select("post_id").collect()] == ["p"]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_listings_leave_out_replies_to_missing_comments(spark, tmp_path):
+    ids = [n for n in range(300) if n not in (22, 13, 128 + 5)]
+    cells = "id AS event_id, id AS user_id, TIMESTAMP_NTZ '2024-01-01' AS ts, 'view' AS event_type, 1.0D AS value, '{}' AS props"
+    spark.createDataFrame([(n,) for n in ids], "id long").selectExpr(*cells.split(", ")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["post_id"]: json.loads(f"[{r['listing']}]") for r in Inputs(spark, str(tmp_path)).thread_listings().collect()}
+
+    def below(k, up):
+        own = [n for n in ids if n // 128 == k and parent(n % 128) == up]
+        return [below(k, n % 128) for n in own]
+
+    def parent(seq):
+        return None if seq < 12 else seq - 1 if seq > 100 else (seq - 12) // 4
+
+    def shape(nodes):
+        return [shape(n["data"]["replies"]["data"]["children"]) if n["data"]["replies"] else [] for n in nodes]
+
+    assert {k: shape(v) for k, v in got.items()} == {f"p{k}": below(k, None) for k in range(3)}

@@ -67,10 +67,9 @@ def direct_targets(i: Inputs):
        ON p.post_id = n.post_id""",
 )
 def src_thread_json(i: Inputs):
-    good = i.threads()
-    # payloads that are no list: an error object and a broken document per thread
-    bad = good.select("post_id", F.explode(F.array(F.lit('{"error": 404}'), F.lit("[{broken"), F.lit("null"))).alias("raw"))
-    parsed = threads.parse_threads(good.unionByName(bad))
+    # payloads that are no list beside each thread: an error object, a broken document and a null
+    payloads = F.array("raw", F.lit('{"error": 404}'), F.lit("[{broken"), F.lit("null"))
+    parsed = threads.parse_threads(i.threads().select("post_id", F.explode(payloads).alias("raw")))
     rows = threads.flatten_comments(parsed)
     return rows.groupBy("post_id").agg(F.count("*").alias("n"))
 
