@@ -9,6 +9,9 @@ from threadspark.catalog.inputs import AS_OF, Inputs
 from threadspark.operators.state import conform
 from threadspark.plans.routines import make_routine, match_routines
 from threadspark.plans.run import run
+from tests.conftest import rows
+from threadspark.plans import run as run_module
+from threadspark.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -51,3 +54,22 @@ def test_the_scan_takes_over_the_rules_on_whole_values(spark, tmp_path, capsys):
         assert "over_18" in plan.split("PushedFilters:")[1].split("ReadSchema")[0]
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert [r["post_id"] for r in match_routines(stored, [one, two], NOW).collect()] == ["a"]
+
+
+def test_posts_seen_again_are_written_as_ids(spark, monkeypatch):
+    written = []
+
+    def noted(df):
+        done = cut_lineage(df)
+        written.append((len(done.columns), done.count()))
+        return done
+
+    monkeypatch.setattr(run_module, "cut_lineage", noted)
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    nothing = make_routine({"sort": "top", "min_score": 100_000, "allow_nsfw": True}, routine_id=1)
+    after = run_module.run(i.posts, i.comments, i.known_state, [nothing], AS_OF)
+    hits = after.seen.filter("status = 'hit'").count()
+    assert hits > 100 and all(count == 0 for columns, count in written if columns > 10)
+    assert after.changes.count() == hits and after.state.count() == i.known_state.count()
+    assert rows(after.changes.select("post_id")) == rows(after.seen.filter("status = 'hit'").select("post_id"))
+    assert after.changes.filter(F.col("last_scrape_timestamp") < AS_OF).count() == 0

@@ -240,12 +240,17 @@ class _Feed:
 
 
 def _deeper(source: DataFrame, feeds: Sequence[_Feed], size: int) -> DataFrame:
-    """The next ``size`` positions of each feed, written; what was read is noted in ``feeds``."""
+    """The next ``size`` positions of each feed, written; what was read is noted in ``feeds``. Feeds read to their end aren't written here."""
     routines = [f.routine for f in feeds]
     before = {f.routine.routine_id: f.read for f in feeds}
     whole = size > MOST_POSITIONS
     window = _ranked(source.filter(query.any_of([f.rest() for f in feeds])), None if whole else size)
-    window = cut_lineage(window.withColumn("pos", F.col("pos") + by_routine(routines, lambda r: F.lit(before[r.routine_id]))))
+    window = window.withColumn("pos", F.col("pos") + by_routine(routines, lambda r: F.lit(before[r.routine_id])))
+    if whole:
+        for feed in feeds:
+            feed.ended = True
+        return within_horizon(window, routines)
+    window = cut_lineage(window)
     # one row per routine
     ends = window.groupBy("routine_id").agg(F.count(F.lit(1)), F.max(F.struct("pos", "sort_key", "post_id"))).collect()
     found = {row[0]: (row[1], row[2]) for row in ends}
@@ -254,20 +259,19 @@ def _deeper(source: DataFrame, feeds: Sequence[_Feed], size: int) -> DataFrame:
         feed.read += count
         feed.last = feed.last if last is None else (last["sort_key"], last["post_id"])
         horizon = feed.routine.horizon
-        feed.ended = whole or count < size or (horizon is not None and feed.read >= feed.routine.offset + horizon)
+        feed.ended = count < size or (horizon is not None and feed.read >= feed.routine.offset + horizon)
     return within_horizon(window, routines)
 
 
 def lookup_state(feed: DataFrame, state: DataFrame, feed_rows: int) -> DataFrame:
     """Feed rows with ``known`` and the state's ``rescrape_after``.
 
-    The feed is bounded by the routines' horizons. While that bound is small the
-    state is reduced by a broadcast of the feed's ids instead of being shuffled.
+    ``feed_rows`` bounds the feed. While that bound is small the state is reduced by a broadcast of the feed's ids
+    instead of being shuffled; beyond it both sides are shuffled once.
     """
-    slim = state.select("post_id", "rescrape_after")
-    ids = feed.select("post_id").distinct()
-    ids = F.broadcast(ids) if feed_rows <= BROADCAST_ROWS else ids
-    seen = slim.join(ids, "post_id", "left_semi").withColumn("known", F.lit(True))
+    seen = state.select("post_id", "rescrape_after", F.lit(True).alias("known"))
+    if feed_rows <= BROADCAST_ROWS:
+        seen = seen.join(F.broadcast(feed.select("post_id").distinct()), "post_id", "left_semi")
     joined = feed.join(seen, "post_id", "left")
     return joined.withColumn("known", F.coalesce("known", F.lit(False)))
 

@@ -249,21 +249,28 @@ def _recorded(
     as_of: datetime,
     bound: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows that a run changes, and the tracking table afterwards. Untouched rows pass by without a shuffle."""
-    again = seen.filter(F.col("status") == "hit").select("post_id", ntz(as_of).alias("ts"))
-    touched, rest = tracking.split_touched(tracking.conform(state), accepted.select("post_id").union(again.select("post_id")))
-    touched = cut_lineage(touched)
+    """The rows that a run changes, and the tracking table afterwards.
+
+    Whole rows are written for accepted posts only, whose number the limits bound. Posts that were only seen again may be most of the
+    state: their ids are written once and meet it in one join, and where they are few, untouched rows pass by without a shuffle.
+    """
+    state = tracking.conform(state)
+    touched = cut_lineage(_only(state, accepted.select("post_id"), bound))
     rows = state_rows(accepted, routines, as_of, comment_dumps(accepted, comments, routines, bound))
     first = tracking.first_changes(touched, rows.filter(F.col("kind") == "initial").drop("kind"))
     later = with_known_paths(rows.filter(F.col("kind") == "rescrape").drop("kind"), touched, bound)
-    later = tracking.later_changes(touched, later)
-    only_seen = touched.join(accepted.select("post_id"), "post_id", "left_anti")
-    last = again.groupBy("post_id").agg(F.max("ts").alias("_seen"))
-    changed = tracking.conform(first.unionByName(later).unionByName(only_seen).join(last, "post_id", "left").withColumn(
-        "last_scrape_timestamp", F.greatest("last_scrape_timestamp", "_seen")
-    ))
-    changed = cut_lineage(changed)
-    return changed, rest.unionByName(changed)
+    # written at the run's moment, so a hit of another routine moves them no further
+    written = cut_lineage(tracking.conform(first.unionByName(tracking.later_changes(touched, later))))
+    ids = accepted.select("post_id")
+    others = state.join(F.broadcast(ids) if bound is not None and bound <= BROADCAST_ROWS else ids, "post_id", "left_anti")
+    again = seen.filter(F.col("status") == "hit").select("post_id").distinct()
+    again = cut_lineage(again.join(ids, "post_id", "left_anti"))
+    few = again.count() <= tracking.BROADCAST_ROWS
+    last = again.withColumn("_seen", ntz(as_of))
+    moved = others.join(F.broadcast(last) if few else last, "post_id", "left")
+    moved = moved.withColumn("last_scrape_timestamp", F.greatest("last_scrape_timestamp", "_seen"))
+    changes = tracking.conform(moved.filter(F.col("_seen").isNotNull())).unionByName(written)
+    return changes, tracking.conform(moved).unionByName(written)
 
 
 def run_targets(
