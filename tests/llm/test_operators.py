@@ -3,6 +3,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,23 @@ def test_ngram_blocks_and_merge_join(docs, texts, monkeypatch):
     assert got == {i: c for i, (_, c) in brute.ngram_components(texts, 3, 90).items()}
 
 
+@pytest.mark.parametrize("large", [1, 12_000])
+def test_sketches_rule_out_no_near_pair(large):
+    rng = np.random.default_rng(large)
+    base = rng.integers(0, 1 << 63, 40 * large, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(base[rng.random(len(base)) < share]) for share in (0.99, 0.97, 0.95, 0.9, 0.85, 0.8, 0.5, 0.4)]
+    assert len(ngrams.sketch(sets[0])) * 2 <= max(64, len(sets[0]))
+    members = [(0, k, k % 7, len(s)) for k, s in enumerate(sets)]
+    found = ngrams._near_pairs(members, members, 80, ngrams.folded([ngrams.sketch(s) for s in sets] * 2))
+    near = {(k, j): bound for k, spots, most in found for j, bound in zip(spots.tolist(), most.tolist(), strict=True)}
+    for k, s in enumerate(sets):
+        for j in range(k + 1, len(sets)):
+            both = len(np.intersect1d(s, sets[j]))
+            if k % 7 != j % 7 and 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                assert near[k, j] >= len(s) + len(sets[j]) - 2 * both
+    assert all(members[k][2] != members[j][2] for k, j in near) and (0, 6) not in near
+
+
 def test_similar_sets_share_a_signature():
     import numpy as np
 

@@ -125,16 +125,18 @@ class Bands:
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """Counts of a set's elements in buckets, half as many to as many as elements; the counts stop at 255."""
+    """Counts of a set's elements in buckets, half as many to as many as elements; the counts stop at 15, and a byte holds those of two buckets."""
     buckets = 1 << max(6, len(features).bit_length() - 1)
     counts = np.bincount((features & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    low, high = np.minimum(counts, 15).astype(np.uint8).reshape(2, -1)
+    return (low | high << 4).tobytes()
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of counts over the fewest buckets that any of them has."""
-    buckets = min(map(len, sketches))
-    rows = [np.frombuffer(s, np.uint8).reshape(-1, buckets).sum(axis=0, dtype=np.int32) for s in sketches]
+    buckets = 2 * min(map(len, sketches))
+    packed = [np.frombuffer(s, np.uint8) for s in sketches]
+    rows = [np.concatenate((p & 15, p >> 4)).reshape(-1, buckets).sum(axis=0, dtype=np.int32) for p in packed]
     return np.minimum(np.array(rows), 255)
 
 
@@ -233,27 +235,45 @@ def _pairs_of(incoming: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple],
         yield left, right or left
 
 
-def _near_pairs(left: list[tuple], right: list[tuple], percent: int, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each left member the right members of another label that its sketch doesn't rule out, and all bounds.
+def _near_pairs(left: list[tuple], right: list[tuple], percent: int, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left member the right members of another label that its sketch doesn't rule out, and the bound of each.
 
-    Bucket counts of two sets differ by no more than the sets do. Members are (side, rep, label, size, ...).
+    Bucket counts of two sets differ by no more than the sets do. Members are (side, rep, label, size, ...), ``rows`` the counts of both sides.
     """
-    rows = folded(sketches)
-    # few buckets rule most pairs out at a small share of the work
+    # few buckets rule most pairs out at a small share of the work; the right side lies in order of size, so that sizes pick a range
     few = rows.reshape(len(rows), -1, COARSE).sum(axis=1)
+    kind = np.int16 if few.sum(axis=1).max() < 1 << 14 else np.int32
+    sizes = np.array([m[3] for m in right])
+    order = np.argsort(sizes, kind="stable")
+    labels, sizes = np.array([m[2] for m in right])[order], sizes[order]
+    few_a, few_b = few[: len(left)].T.astype(kind), np.ascontiguousarray(few[len(left) :][order].T.astype(kind))
+    rows = rows.astype(np.int16)
     a, b = rows[: len(left)], rows[len(left) :]
-    few_a, few_b = few[: len(left)], few[len(left) :]
-    labels, sizes = np.array([m[2] for m in right]), np.array([m[3] for m in right])
     for k, m in enumerate(left):
         most = (m[3] + sizes) * (100 - percent) // (100 + percent)
-        near = labels != m[2]
+        alike = np.flatnonzero(np.abs(sizes - m[3]) <= most)
+        if not len(alike):
+            continue
+        # sizes alike to one are neighbours in order
+        low, high = int(alike[0]), int(alike[-1]) + 1
+        near = labels[low:high] != m[2]
         if right is left:
-            near[: k + 1] = False
-        spots = np.flatnonzero(near & (np.abs(sizes - m[3]) <= most))
-        spots = spots[np.abs(few_b[spots] - few_a[k]).sum(axis=1) <= most[spots]]
-        spots = spots[np.abs(b[spots] - a[k]).sum(axis=1) <= most[spots]]
+            near &= order[low:high] > k
+        spots = np.flatnonzero(near)
+        if not len(spots):
+            continue
+        if 4 * len(spots) > high - low:
+            apart = few_b[:, low:high] - few_a[:, k : k + 1]
+            apart = np.add.reduce(np.abs(apart, out=apart), axis=0, dtype=kind)[spots]
+            spots += low
+        else:
+            spots += low
+            apart = few_b[:, spots] - few_a[:, k : k + 1]
+            apart = np.add.reduce(np.abs(apart, out=apart), axis=0, dtype=kind)
+        spots = spots[apart <= most[spots]]
+        spots = spots[np.abs(b[order[spots]] - a[k]).sum(axis=1, dtype=np.int32) <= most[spots]]
         if len(spots):
-            yield k, spots, most
+            yield k, order[spots], most[spots]
 
 
 def _partners(members: DataFrame, percent: int, which: str) -> DataFrame:
@@ -265,7 +285,7 @@ def _partners(members: DataFrame, percent: int, which: str) -> DataFrame:
     out = "a long, b long, label long"
 
     def pairs(left: list[tuple], right: list[tuple]) -> Iterator[tuple]:
-        for k, spots, _ in _near_pairs(left, right, percent, [m[4] for m in left] + [m[4] for m in right]):
+        for k, spots, _ in _near_pairs(left, right, percent, folded([m[4] for m in left] + [m[4] for m in right])):
             yield from ((left[k], right[j]) for j in spots)
 
     def run(incoming: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +322,13 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 
         both = left + right
         deltas = {m[1]: frozenset(m[4]) for m in both}
-        sketches = [np.minimum(np.bincount(np.asarray(m[4], np.int64) & 63, minlength=64), 255).astype(np.uint8).tobytes() for m in both]
-        for k, spots, most in _near_pairs(left, right, percent, sketches):
+        counts = np.array([np.bincount(np.asarray(m[4], np.int64) & 63, minlength=64) for m in both])
+        for k, spots, most in _near_pairs(left, right, percent, np.minimum(counts, 255)):
             m = left[k]
-            for j in spots:
+            for j, bound in zip(spots.tolist(), most.tolist(), strict=True):
                 other = right[j]
                 a, b = root(m[2]), root(other[2])
-                if a != b and len(deltas[m[1]] ^ deltas[other[1]]) <= most[j]:
+                if a != b and len(deltas[m[1]] ^ deltas[other[1]]) <= bound:
                     top[a] = b
                     yield m[1], other[1]
 
