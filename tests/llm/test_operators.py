@@ -440,11 +440,15 @@ def test_windows_of_repeated_lines_are_joined_by_chain(spark, monkeypatch):
             for b in windows:
                 known = [w.known_start <= w.left and w.known_stop > w.right for w in (a, b)]
                 if a.key == b.key and a[side] == b[side] >= 0 and a.doc_id > b.doc_id and not all(known) and not a.chain == b.chain != 0:
+                    low, high = max(a.left - a.at, b.left - b.at), min(a.right - a.at, b.right - b.at)
+                    ends = [(w.known_start, max(w.left, w.at + low - 16), min(w.right, w.at + high + 16), w.known_stop) for w in (a, b)]
+                    if high - low + 1 < 46 or all(p <= q and r < s for p, q, r, s in ends):
+                        continue
                     want.append((a.hash, a.doc_id, a.left, a.at, b.doc_id, b.left, b.at))
-    found = passages._others(marked).select("hash", "doc_id", "left", "at", "rep.doc_id", "rep.left", "rep.at")
+    found = passages._others(marked, 46).select("hash", "doc_id", "left", "at", "rep.doc_id", "rep.left", "rep.at")
     assert len(want) > 50 and sorted(tuple(r) for r in found.collect()) == sorted(want)
-    assert passages._lines(passages._partners(marked), 46).count() > 0
-    assert passages._lines(passages._partners(passages._marked(met, whole)), 46).count() == 0
+    assert passages._lines(passages._partners(marked, 46)).count() > 0
+    assert passages._lines(passages._partners(passages._marked(met, whole), 46)).count() == 0
 
 
 def test_access_keys_behind_capitals_and_digits(spark):
