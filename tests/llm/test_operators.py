@@ -139,6 +139,38 @@ def test_similar_sets_share_a_signature():
                 assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
 
 
+def test_unrelated_sets_with_a_common_line_rarely_share_a_signature():
+    rng = np.random.default_rng(8)
+    bands = ngrams.Bands(80)
+    line = rng.integers(0, 1 << 63, 6).astype(np.uint64)
+    met = pairs = 0
+    for size in (200, 300, 600, 1500):
+        found = [set(bands.signatures(np.unique(np.r_[line, rng.integers(0, 1 << 63, size).astype(np.uint64)])).tolist()) for _ in range(60)]
+        for k, x in enumerate(found):
+            met += sum(bool(x & y) for y in found[:k])
+            pairs += k
+    assert met * 20 < pairs
+
+
+def test_similar_sets_share_a_signature_where_they_differ_most():
+    """As many elements differ as the similarity allows, all of them in thin or all in thick partitions of the larger set's band."""
+    rng = np.random.default_rng(9)
+    bands = ngrams.Bands(80)
+    for trial in range(120):
+        size = int(rng.integers(70, 1500))
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        band = next(k for k, s in enumerate(bands.starts) if s > size) - 1
+        parts, cells, _, _ = bands.plan(band)
+        cell = (ngrams._mix(a + np.uint64(band)) % np.uint64(parts * cells)).astype(np.int64)
+        # one element of each partition goes first, so that as many partitions as possible differ
+        first = np.zeros(size, bool)
+        first[np.unique(cell, return_index=True)[1]] = True
+        weight = np.bincount(cell, minlength=parts * cells)[cell] * (1, -1)[trial % 2]
+        b = a[np.lexsort((weight, ~first))][size * 20 // 100 :]
+        assert 100 * len(b) >= 80 * size
+        assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+
+
 def test_ngrams_of_null_ids_and_empty_tables(spark):
     got = ngrams.ngram_components(table_of(spark, [(None, "a b c"), (3, "a b c"), (2, "A B C"), (5, None)])).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (2, 1, 2), (3, 1, 2), (5, 0, 5)]

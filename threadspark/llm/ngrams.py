@@ -74,8 +74,10 @@ class Bands:
     def plan(self, band: int) -> tuple[int, int, int, int]:
         """(first-level partitions, cells in each, cells that may differ, partitions a set may leave out).
 
-        A set leaves out its ``spare`` thinnest partitions: with 2 * spare partitions more than needed, a partition stays that
-        both sets of a pair keep. It is thin partitions, in which unrelated sets are alike by being empty, that this avoids.
+        A set leaves out its ``spare`` thinnest partitions, in which unrelated sets are alike by being empty or by one shingle
+        of a line that many texts hold. Without cells, a partition that two sets share counts as many elements in both, so that both
+        rank the shared ones alike: with ``spare`` partitions more than needed, each keeps the thickest of these. In a partition with cells that
+        may differ the counts may, too: with 2 * spare more, a partition stays that both keep.
         """
         k = self.differing(self.starts[band + 1] - 1)
         if k <= 3:
@@ -86,8 +88,8 @@ class Bands:
             need = -(-(k + 1) // 2)
             spare = 1 + need // 24
             return need + 2 * spare, 3, 1, spare
-        spare = 2 + k // 32
-        return k + 1 + 2 * spare, 1, 0, spare
+        spare = 2 + k // 3
+        return k + 1 + spare, 1, 0, spare
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
         """The 64-bit signatures of a set."""
